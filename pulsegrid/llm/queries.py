@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pulsegrid.llm.lang_id import op2_lang_id
 from pulsegrid.llm.near_dup import op1_near_dup
 from pulsegrid.llm.token_counts import op6_token_counts
 from pulsegrid.llm.token_file import op4_token_file
 
 QUERIES = {
     "op1_near_dup": op1_near_dup,
+    "op2_lang_id": op2_lang_id,
     "op4_token_file": op4_token_file,
     "op6_token_counts": op6_token_counts,
 }
