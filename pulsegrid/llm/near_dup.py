@@ -4,12 +4,12 @@ A document's set is its distinct k-word shingles. Equal sets collapse to one
 representative first, so groups of copies cost one row each. Then independent
 trees split the representatives: a node holds those that chose the same minwise
 tokens on the way down. Nodes of up to ``leaf`` members are compared
-exhaustively; larger ones branch again, on two tokens a level. What is still
+exhaustively; larger ones branch again. What is still
 large at the deepest level is dense: its members are first compared with the
 node's hub (the member nearest to its most usual tokens), and after those links
 are known only pairs that are not yet connected remain. Every link is confirmed
-on full sets; the candidates' 8-bit token sketches only spare hopeless
-comparisons.
+on full sets; sketches of 8-bit hashes only spare hopeless comparisons (a pair
+at the very threshold fails them with probability about 1e-5).
 
 Results: a null or empty text, or one of only spaces, has an empty set and is
 linked with nothing. Rows with a null id are returned unlinked, with a null
@@ -18,6 +18,8 @@ component and kept = true. Rows that share an id count as one node.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,10 +28,22 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.stages import components, cut
 from pulsegrid.llm.textops import mix, shingle_sets, slices
 
-#: Minwise tokens kept per document, trees (each starts from its own token), levels, and members of a node that is compared exhaustively.
-POOL, TREES, LEVELS, LEAF = 32, 16, 5, 32
-#: Sketch positions that must agree before full sets are compared. At similarity 0.75 24 of 32 agree on average; fewer than 13 has probability 1e-5.
-AGREE = 13
+#: Minwise tokens kept per document, trees (each starts from its own token), levels, branches at each level below the first, and members of a node that is compared exhaustively.
+POOL, TREES, LEVELS, BRANCHES, LEAF = 32, 16, 6, (3, 1, 1, 1, 1), 48
+#: Positions of the wide sketch, by one-permutation hashing of the set.
+WIDE = 512
+#: Sketch positions that must agree before full sets are compared: this many deviations below the mean at the similarity asked for.
+DEVIATIONS = 4.2
+
+
+def _wide_sketches(h: np.ndarray, so: np.ndarray) -> np.ndarray:
+    """A byte for each of WIDE ranges of the hash: of the smallest item in it, 0 if there is none. The items are sorted, so that is the first."""
+    wide = np.zeros((len(so) - 1, WIDE), np.uint8)
+    if len(h):
+        cell = np.repeat(np.arange(len(so) - 1) * WIDE, np.diff(so)) + (h >> np.uint64(55)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        wide.ravel()[cell[first]] = (mix(h[first], 77) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return wide
 
 
 def _signatures(id_col: str, k: int):
@@ -47,6 +61,7 @@ def _signatures(id_col: str, k: int):
                         keys[t, full] = np.add.reduceat(mix(h, 900 + t), at)
                     for t in range(POOL):
                         pool[full, t] = np.minimum.reduceat(mix(h, t), at)
+                wide = _wide_sketches(h, so)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[i:j],
@@ -54,8 +69,9 @@ def _signatures(id_col: str, k: int):
                         pa.array(keys[0].view(np.int64)),
                         pa.array(keys[1].view(np.int64)),
                         pa.FixedSizeBinaryArray.from_buffers(pa.binary(POOL * 8), len(n), [None, pa.py_buffer(pool.tobytes())]).cast(pa.binary()),
+                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDE), len(n), [None, pa.py_buffer(wide.tobytes())]).cast(pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "pool"],
+                    names=["doc_id", "n_shingles", "k1", "k2", "pool", "wide"],
                 )
 
     return run
@@ -77,84 +93,91 @@ def _binary(column, width: int, dtype) -> np.ndarray:
 
 
 def _branches(level: int):
-    """(path, pool) -> next paths: tree t starts from token t; deeper levels branch on two tokens picked by tree and level."""
+    """(path, pool) -> next paths: tree t starts from token t; deeper levels choose other tokens by tree, level and branch."""
 
     def run(batches):
         for batch in batches:
             pool = _binary(batch.column("pool"), POOL, np.uint64)
             ids, n = batch.column("rep"), batch.column("n")
-            sketch = np.ascontiguousarray((pool & np.uint64(255)).astype(np.uint8))
-            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(POOL), len(pool), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
-            keep = [ids, n, batch.column("pool") if level > 1 else sketch]
             if level == 1:
+                sketch = np.ascontiguousarray((pool & np.uint64(255)).astype(np.uint8))
+                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(POOL), len(pool), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
                 for t in range(TREES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pool), t, np.int32)), pa.array(mix(pool[:, t], t).view(np.int64)), ids, n, sketch], names=["tree", "node", "rep", "n", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(pool[:, t], t).view(np.int64)), pa.array(np.full(len(pool), t, np.int32)), ids, n, sketch], names=["node", "tree", "rep", "n", "sketch"])
                 continue
             tree = batch.column("tree").to_numpy()
             node = batch.column("node").to_numpy().view(np.uint64)
-            for b in range(2):
-                # another token than the tree's own and than the other branch's
-                pick = (tree + 1 + 2 * (level - 2) + b + 7 * tree * (level - 2)) % (POOL - 1)
-                pick = np.where(pick >= tree, pick + 1, pick)
+            for b in range(BRANCHES[level - 2]):
+                # a token that this path hasn't used: steps of an odd stride from the tree's own one
+                branch = tree // TREES if level > 2 else np.full(len(tree), b)
+                own = tree % TREES
+                pick = (own + (2 * ((own + 5 * branch) % 8) + 3) * (level - 1)) % POOL
                 token = pool[np.arange(len(pool)), pick]
-                path = mix(node ^ mix(token, 40 + 2 * level + b), level)
-                yield pa.RecordBatch.from_arrays([batch.column("tree"), pa.array(path.view(np.int64)), keep[0], keep[1], sketch], names=["tree", "node", "rep", "n", "sketch"])
+                path = mix(node ^ mix(token, 40 + level), 60 + level + 10 * b)
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array((own + TREES * branch).astype(np.int32)), ids, n], names=["node", "tree", "rep", "n"])
 
     return run
 
 
-NODE_ROWS = "tree int, node long, rep long, n long, sketch binary"
-
-
-def _plausible(sketch_a: np.ndarray, sketch_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+def _plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes allow the similarity, and the sketches' agreement does not speak against it."""
     ok = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    ok &= (sketch_a == sketch_b).sum(1) >= AGREE
-    return ok
-
-
-def _leaf_pairs(percent: int):
+    p = percent / 100
+    if a.shape[1] == WIDE:
+        told = ((a | b) != 0).sum(1)
+        agree = ((a == b) & (a != 0)).sum(1)
+    else:
+        return ok & ((a == b).sum(1) >= p * POOL - DEVIATIONS * math.sqrt(p * (1 - p) * POOL) - 1)
+    # told of the union's items are seen, drawn without replacement
+    unseen = np.clip(1 - told * (1 + p) / np.maximum(1, n_a + n_b), 0.02, 1)
+    return ok & (agree >= p * told - DEVIATIONS * np.sqrt(p * (1 - p) * told * unseen) - 1)
+
+
+def _leaf_pairs(percent: int, width: int):
     """All plausible pairs of each small node."""
 
     def run(batches):
         for batch in batches:
             members = batch.column("members")
             flat = members.flatten()
+            if not len(flat):
+                continue
             size = np.diff(members.offsets.to_numpy())
             at = np.concatenate([[0], np.cumsum(size)])
             rep, n = (flat.field(x).to_numpy() for x in ("rep", "n"))
-            sketch = _binary(flat.field("sketch"), POOL, np.uint8)
-            left, right = [], []
+            sketch = _binary(flat.field("sketch"), width, np.uint8)
             for m in np.unique(size):
                 first = at[:-1][size == m]
                 a, b = np.triu_indices(m, 1)
-                for x in range(0, len(first), max(1, 200_000 // max(1, len(a)))):
-                    f = first[x : x + max(1, 200_000 // max(1, len(a)))]
-                    left.append((f[:, None] + a).ravel())
-                    right.append((f[:, None] + b).ravel())
-            if not left:
-                continue
-            for a, b in zip(left, right, strict=True):
-                ok = _plausible(sketch[a], sketch[b], n[a], n[b], percent) & (rep[a] != rep[b])
-                a, b = rep[a[ok]], rep[b[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                step = max(1, 20_000 // max(1, len(a)))
+                for x in range(0, len(first), step):
+                    f = first[x : x + step]
+                    left, right = (f[:, None] + a).ravel(), (f[:, None] + b).ravel()
+                    ok = _plausible(sketch[left], sketch[right], n[left], n[right], percent) & (rep[left] != rep[right])
+                    p, q = rep[left[ok]], rep[right[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     return run
 
 
 def _row_pairs(percent: int):
-    """Rows that hold both sides: the plausible ones."""
+    """Rows that hold both sides with wide sketches: the plausible ones, with their agreement."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = {x: batch.column(x) for x in ("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")}
-            ok = _plausible(_binary(c["sketch_a"], POOL, np.uint8), _binary(c["sketch_b"], POOL, np.uint8), c["n_a"].to_numpy(), c["n_b"].to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(pa.array(ok))
+            for at in range(0, batch.num_rows, 8192):
+                c = {x: batch.column(x).slice(at, 8192) for x in ("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")}
+                x, y = _binary(c["sketch_a"], WIDE, np.uint8), _binary(c["sketch_b"], WIDE, np.uint8)
+                ok = _plausible(x, y, c["n_a"].to_numpy(), c["n_b"].to_numpy(), percent)
+                agree = pa.array(((x == y) & (x != 0)).sum(1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([c["a"], c["b"], agree], names=["a", "b", "agree"]).filter(pa.array(ok))
 
     return run
 
 
+PAIR_ROWS = "a long, b long, agree int"
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
@@ -181,62 +204,70 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _dense_hubs(dense: DataFrame, pools: DataFrame) -> DataFrame:
-    """(tree, node, hub): the member that agrees with most of the node's most usual tokens, the smallest such."""
-    tokens = dense.join(pools.select("rep", "sketch_tokens"), "rep").select("tree", "node", "rep", F.posexplode("sketch_tokens").alias("at", "token"))
-    usual = tokens.groupBy("tree", "node", "at", "token").count().groupBy("tree", "node", "at").agg(F.max_by("token", F.struct("count", "token")).alias("token"))
-    votes = tokens.join(usual, ["tree", "node", "at", "token"]).groupBy("tree", "node", "rep").count()
-    return votes.groupBy("tree", "node").agg(F.max_by("rep", F.struct("count", -F.col("rep"))).alias("hub"))
+def _dense_hubs(dense: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(node, hub): the member that agrees with most of the node's most usual tokens, the smallest such."""
+    told = dense.select("node", "rep").join(tokens, "rep").select("node", "rep", F.posexplode("tokens").alias("at", "token"))
+    usual = told.groupBy("node", "at", "token").count().groupBy("node", "at").agg(F.max_by("token", F.struct("count", "token")).alias("token"))
+    votes = told.join(usual, ["node", "at", "token"]).groupBy("node", "rep").count()
+    return votes.groupBy("node").agg(F.max_by("rep", F.struct("count", -F.col("rep"))).alias("hub"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, duplicates of ``docs``: links at 100 * intersection >= percent * union.
+    """doc_id, n_shingles, component_id, kept, set_id of ``docs``: links at 100 * intersection >= percent * union.
 
     ``set_id`` names the class of equal sets: the smallest id in it.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(texts.mapInArrow(_signatures("doc_id", k), "doc_id long, n_shingles long, k1 long, k2 long, pool binary"), "signed")
+    signed = cut(texts.mapInArrow(_signatures("doc_id", k), "doc_id long, n_shingles long, k1 long, k2 long, pool binary, wide binary"), "signed")
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = cut(linked.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("pool").alias("pool")).select("k1", "k2", F.col("n_shingles").alias("n"), "rep", "pool"), "reps")
+    reps = cut(linked.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("pool").alias("pool"), F.first("wide").alias("wide")).withColumnRenamed("n_shingles", "n"), "reps")
 
     # the trees, level by level; only nodes above the leaf size go on
-    rows, leaves, dense = reps.select("rep", "n", "pool"), [], None
+    rows, found, dense = reps.select("rep", "n", "pool"), [], None
+    sketches = reps.select("rep", F.col("wide").alias("sketch"))
     for level in range(1, LEVELS + 1):
-        nodes = cut(rows.mapInArrow(_branches(level), NODE_ROWS), f"level{level}")
-        sizes = nodes.groupBy("tree", "node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = nodes.join(sizes, ["tree", "node"])
-        leaves.append(sized.where(F.col("size") <= LEAF).groupBy("tree", "node").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members")).select("members"))
-        large = cut(sized.where(F.col("size") > LEAF).select("tree", "node", "rep", "n", "sketch"), f"large{level}")
+        first = level == 1
+        nodes = cut(rows.mapInArrow(_branches(level), "node long, tree int, rep long, n long" + ", sketch binary" * first), f"level{level}")
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        sized = nodes.join(sizes, "node")
+        leaves = sized.where(F.col("size") <= LEAF)
+        if not first:
+            leaves = leaves.join(sketches, "rep")
+        members = leaves.groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members")).select("members")
+        found.append(members.mapInArrow(_leaf_pairs(percent, POOL if first else WIDE), "a long, b long"))
+        large = cut(sized.where(F.col("size") > LEAF).select("node", "tree", "rep", "n"), f"large{level}")
         if large.isEmpty():
             break
         if level == LEVELS:
             dense = large
         else:
-            rows = large.select("tree", "node", "rep").join(reps.select("rep", "n", "pool"), "rep")
-    pairs = leaves[0]
-    for more in leaves[1:]:
+            rows = large.join(reps.select("rep", "pool"), "rep")
+    pairs = found[0]
+    for more in found[1:]:
         pairs = pairs.union(more)
-    pairs = pairs.mapInArrow(_leaf_pairs(percent), "a long, b long")
+    pairs = cut(pairs.distinct(), "near")
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"sketch_{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_row_pairs(percent), PAIR_ROWS).select("a", "b")
     if dense is not None:
-        tokens = reps.join(dense.select("rep").distinct(), "rep", "left_semi").select("rep", F.expr(f"transform(sequence(0, {POOL - 1}), i -> substring(pool, 8 * i + 1, 8))").alias("sketch_tokens"))
+        # every dense member is held against the hub that it is most like
+        tokens = reps.join(dense.select("rep").distinct(), "rep", "left_semi").select("rep", F.expr(f"transform(sequence(0, {POOL - 1}), i -> substring(pool, 8 * i + 1, 8))").alias("tokens"))
         hubs = cut(_dense_hubs(dense, tokens), "hubs")
-        hub = hubs.join(dense.select("tree", "node", F.col("rep").alias("hub"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), ["tree", "node", "hub"])
-        spokes = dense.join(hub, ["tree", "node"]).where("rep != hub")
-        spokes = spokes.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), F.col("n").alias("n_a"), "n_b", F.col("sketch").alias("sketch_a"), "sketch_b")
-        pairs = pairs.union(spokes.mapInArrow(_row_pairs(percent), "a long, b long"))
+        spokes = dense.select("node", F.col("rep").alias("a")).join(hubs.withColumnRenamed("hub", "b"), "node").where("a != b").select("a", "b").distinct()
+        spokes = spokes.join(side("a"), "a").join(side("b"), "b").mapInArrow(_row_pairs(percent), PAIR_ROWS)
+        spokes = spokes.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
+        pairs = pairs.union(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     pairs = cut(pairs.distinct(), "pairs")
     edges = cut(_verified(texts, pairs, k, percent), "links")
     labels = components(edges)
     if dense is not None:
-        # what a hub did not connect meets every other member of its node, in any component but its own
-        known = dense.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        hub_part = known.join(hubs.select("tree", "node", F.col("hub").alias("rep")), ["tree", "node", "rep"]).select("tree", "node", F.col("component").alias("main"))
-        known = cut(known.join(hub_part, ["tree", "node"]), "known")
-        loose = known.where("component != main").select("tree", "node", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("component").alias("part_a"))
-        other = known.select("tree", "node", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("component").alias("part_b"), "main")
-        met = loose.join(other, ["tree", "node"]).where("part_a != part_b and (part_b = main or a < b) and a != b")
-        met = met.mapInArrow(_row_pairs(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        met = cut(met.join(pairs, ["a", "b"], "left_anti"), "met")
+        # what is not connected with its node's hub meets the node's members in other components
+        known = dense.select("node", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        main = known.join(hubs.withColumnRenamed("hub", "rep"), ["node", "rep"]).select("node", F.col("component").alias("main"))
+        known = cut(known.join(main, "node"), "known")
+        loose = known.where("component != main").select("node", F.col("rep").alias("u"), F.col("component").alias("part_u"))
+        other = known.select("node", F.col("rep").alias("w"), F.col("component").alias("part_w"), "main")
+        met = loose.join(other, "node").where("part_u != part_w and (part_w = main or u < w)").select(F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        met = cut(met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_row_pairs(percent), PAIR_ROWS).select("a", "b"), "met")
         if not met.isEmpty():
             edges = edges.union(_verified(texts, met, k, percent))
             labels = components(edges)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pulsegrid.llm.lang_id import op2_lang_id
+from pulsegrid.llm.lattice import op8_lattice
 from pulsegrid.llm.near_dup import op1_near_dup
 from pulsegrid.llm.token_counts import op6_token_counts
 from pulsegrid.llm.token_file import op4_token_file
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_lang_id": op2_lang_id,
     "op4_token_file": op4_token_file,
     "op6_token_counts": op6_token_counts,
+    "op8_lattice": op8_lattice,
 }
 
 ORACLES: dict[str, str] = {}
