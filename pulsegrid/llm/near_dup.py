@@ -30,6 +30,8 @@ from pulsegrid.llm.textops import mix, shingle_sets, slices
 
 #: Minwise tokens kept per document, trees (each starts from its own token), levels, branches at each level below the first, and members of a node that is compared exhaustively.
 POOL, TREES, LEVELS, BRANCHES, LEAF = 32, 16, 6, (3, 1, 1, 1, 1), 48
+#: Members of a dense node that meet as one block.
+BLOCK = 256
 #: Positions of the wide sketch, by one-permutation hashing of the set.
 WIDE = 512
 #: Sketch positions that must agree before full sets are compared: this many deviations below the mean at the similarity asked for.
@@ -175,6 +177,26 @@ def _row_pairs(percent: int):
     return run
 
 
+def _block_pairs(percent: int):
+    """Two blocks of a dense node (loose members, any members): the plausible pairs that are not connected yet."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                us, ws = batch.column("us")[row].values, batch.column("ws")[row].values
+                main = batch.column("main")[row].as_py()
+                (u, n_u, part_u), (w, n_w, part_w) = ([x.field(c).to_numpy() for c in ("rep", "n", "part")] for x in (us, ws))
+                x, y = _binary(us.field("sketch"), WIDE, np.uint8), _binary(ws.field("sketch"), WIDE, np.uint8)
+                i, j = np.nonzero((part_u[:, None] != part_w) & ((part_w == main) | (u[:, None] < w)) & (100 * np.minimum(n_u[:, None], n_w) >= percent * np.maximum(n_u[:, None], n_w)))
+                for at in range(0, len(i), 8192):
+                    p, q = i[at : at + 8192], j[at : at + 8192]
+                    ok = _plausible(x[p], y[q], n_u[p], n_w[q], percent)
+                    a, b = u[p[ok]], w[q[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
 PAIR_ROWS = "a long, b long, agree int"
 
 
@@ -264,10 +286,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known = dense.select("node", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         main = known.join(hubs.withColumnRenamed("hub", "rep"), ["node", "rep"]).select("node", F.col("component").alias("main"))
         known = cut(known.join(main, "node"), "known")
-        loose = known.where("component != main").select("node", F.col("rep").alias("u"), F.col("component").alias("part_u"))
-        other = known.select("node", F.col("rep").alias("w"), F.col("component").alias("part_w"), "main")
-        met = loose.join(other, "node").where("part_u != part_w and (part_w = main or u < w)").select(F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        met = cut(met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_row_pairs(percent), PAIR_ROWS).select("a", "b"), "met")
+        sizes = known.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        known = known.join(sizes, "node").join(sketches.join(reps.select("rep", "n"), "rep"), "rep")
+        known = known.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        member = F.collect_list(F.struct("rep", "n", F.col("component").alias("part"), "sketch"))
+        loose = known.where("component != main").groupBy("node", F.col("block").alias("block_u")).agg(member.alias("us"))
+        other = known.groupBy("node", F.col("block").alias("block_w")).agg(F.first("main").alias("main"), member.alias("ws"))
+        met = loose.join(other, "node").select("us", "ws", "main").mapInArrow(_block_pairs(percent), "a long, b long").distinct()
+        met = cut(met.join(pairs, ["a", "b"], "left_anti"), "met")
         if not met.isEmpty():
             edges = edges.union(_verified(texts, met, k, percent))
             labels = components(edges)
