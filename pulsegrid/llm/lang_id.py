@@ -246,8 +246,13 @@ class Model:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from at most ``sample_docs`` labelled documents, those with the smallest hash of their id."""
-    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"))
-    samples = [(r["text"], r["label"]) for r in rows.orderBy("h", "i", "text").limit(sample_docs).collect()]
+    labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    # ids first: every task sends its smallest hashes, not its texts
+    last = labelled.select(F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    if last is None:
+        return Model([])
+    rows = labelled.where(F.xxhash64(F.col(id_col)) <= last).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col)).alias("h"))
+    samples = [(r["text"], r["label"]) for r in sorted(rows.limit(2 * sample_docs).collect(), key=lambda r: (r["h"], r["text"], r["label"]))][:sample_docs]
     return Model([x for x, _ in sorted(Counter(label for _, label in samples).items())]).fit(samples)
 
 
