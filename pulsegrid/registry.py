@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from pulsegrid.plans import activity
+
+MODULES = [activity]
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
