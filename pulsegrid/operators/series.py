@@ -64,7 +64,7 @@ def spread(values: Column, centre: Column) -> Column:
     """Robust spread of an array: MAD / 0.6745, else the standard deviation, else the root of the median (1 at least)."""
     away = F.array_sort(F.transform(values, lambda x: F.abs(x - centre)))
     mad = middle(away)
-    n = F.size(values)
+    n = F.nullif(F.size(values), F.lit(0))
     mean = F.aggregate(values, F.lit(0.0), lambda t, x: t + x) / n
     dev = F.sqrt(F.aggregate(values, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean)) / n)
     return F.when(mad > 0, mad / 0.6745).when(dev > 0, dev).otherwise(F.sqrt(F.greatest(centre, F.lit(1.0))))

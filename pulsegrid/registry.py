@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import activity
+from pulsegrid.plans import activity, series
 
-MODULES = [activity]
+MODULES = [activity, series]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
