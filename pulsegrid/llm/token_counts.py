@@ -128,8 +128,14 @@ class LibraryCounter:
         return len(self.library.encode(text, add_special_tokens=False).ids) if text else 0
 
 
+_counters: dict = {}
+
+
 def counter(path: str):
-    return LibraryCounter(path) if path.endswith(".json") else PieceCounter(path)
+    """The counter of a tokenizer file; a worker keeps it from task to task."""
+    if path not in _counters:
+        _counters[path] = LibraryCounter(path) if path.endswith(".json") else PieceCounter(path)
+    return _counters[path]
 
 
 def _counted(path: str, limit: int):

@@ -15,6 +15,7 @@ ids keep one row each, ordered by their token ids; null document ids come first.
 from __future__ import annotations
 
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,58 +31,133 @@ MAX_BITS, STEP, BLOCK_IDS = 18, 64, 1 << 18
 BLOCK = "part int, block int, part_offset long, doc_ids binary, counts binary, n_ids long, n_bits long, bits binary, checkpoints binary"
 
 
-class _Chunks(dict):
-    """Bytes of the ids of a chunk without spaces; found by the library when first met. Bounded."""
+def id_type(tokenizer: str) -> str:
+    """Two bytes hold an id of a vocabulary of up to 65,536."""
+    from tokenizers import Tokenizer
 
-    def __init__(self, path: str, most: int = 400_000):
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def lowers(tokenizer: str) -> bool:
+    """Whether the tokenizer composes (NFC) and lowers texts before anything else."""
+    from tokenizers import Tokenizer
+
+    steps = Tokenizer.from_file(tokenizer).normalizer
+    return steps is not None and steps.normalize_str("E\u0301A \u0130") == "\u00e9a i\u0307"
+
+
+class Chunks(dict):
+    """Bytes of the ids of a chunk without spaces. Bounded; kept from task to task of a worker.
+
+    New chunks of a slice are found together: those of letters only are one
+    pre-token each, so the library encodes many of them in one text; a word with
+    ASCII marks after it is the word and the marks; any other goes alone.
+    """
+
+    _MARKS = ".,;:!?*&$#%)\"]}-_/\\|+=~^`@"
+    _known: dict[tuple[str, str], Chunks] = {}
+
+    def __init__(self, path: str, kind: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.library, self.most = Tokenizer.from_file(path), most
+        self.library, self.kind, self.most = Tokenizer.from_file(path), kind, most
         self.library.no_truncation()
         self.library.no_padding()
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""
-        if len(chunk) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[chunk] = found
-        return found
-
-
-def _encode(path: str, end_id: int):
+        self[""] = b""
+
+    @classmethod
+    def of(cls, path: str, kind: str) -> Chunks:
+        if (path, kind) not in cls._known:
+            cls._known[path, kind] = cls(path, kind)
+        return cls._known[path, kind]
+
+    def alone(self, chunk: str) -> bytes:
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def meet(self, chunks: set[str]) -> None:
+        """Makes sure that all of ``chunks`` are known."""
+        new = chunks.difference(self)
+        if not new:
+            return
+        if len(self) + len(new) > self.most:
+            self.clear()
+            self[""] = b""
+            new = chunks.difference(self)
+        words, marked = set(), []
+        for c in new:
+            core = c.rstrip(self._MARKS)
+            if core == c and c.isalpha():
+                words.add(c)
+            elif core and core.isalpha() and core.lower().isalpha() and len(core) < len(c):
+                marked.append((c, core, c[len(core) :]))
+                if core not in self:
+                    words.add(core)
+            else:
+                self[c] = self.alone(c)
+        many = list(words)
+        for i in range(0, len(many), 4000):
+            part = many[i : i + 4000]
+            got = self.library.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.array(got.ids, self.kind), np.array([-1 if x is None else x for x in got.word_ids], np.int64)
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+            if len(first) == len(part) and (of[first] == np.arange(len(part))).all():
+                raw, width = ids.tobytes(), ids.itemsize
+                at = (np.append(first, len(ids)) * width).tolist()
+                self.update(zip(part, (raw[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
+            else:
+                self.update((w, self.alone(w)) for w in part)
+        for c, core, marks in marked:
+            if marks not in self:
+                self[marks] = self.alone(marks)
+            self[c] = self[core] + self[marks]
+
+
+def _lowered(text: str) -> str:
+    """The text with A-Z lowered, where a tokenizer that composes and lowers can't tell the difference."""
+    low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    if "<|" in text or not (low.isascii() or (is_normalized("NFC", low) and is_normalized("NFC", text))):
+        return text
+    return low
+
+
+def _encode(path: str, end_id: int, kind: str, lowers: bool):
     """Splitting at spaces, tabs and line ends is exact for a tokenizer that drops white space and never joins across it."""
 
     def run(batches):
-        chunks = _Chunks(path)
-        end = np.array([end_id], "<u4").tobytes()
+        chunks = Chunks.of(path, kind)
+        end = np.array([end_id], kind).tobytes()
         at = chunks.__getitem__
         for batch in batches:
             for i, j, _, _ in slices(batch.column(1)):
-                ids = []
-                for text in batch.column(1)[i:j].to_pylist():
-                    parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                    ids.append(b"".join(map(at, parts)) + end)
+                texts = [t or "" for t in batch.column(1)[i:j].to_pylist()]
+                if lowers:
+                    texts = [_lowered(t) for t in texts]
+                parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+                chunks.meet(set().union(*parts))
+                ids = [b"".join(map(at, p)) + end for p in parts]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
-def _flat(column) -> tuple[np.ndarray, np.ndarray]:
-    raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64)
+def _flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    raw, width = column.to_pylist(), np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(raw), kind), np.array([len(x) // width for x in raw], np.int64)
 
 
-def _count(batches):
-    total = np.zeros(1, np.int64)
-    for batch in batches:
-        got = np.bincount(_flat(batch.column(0))[0])
-        if len(got) > len(total):
-            total = np.pad(total, (0, len(got) - len(total)))
-        total[: len(got)] += got
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+def _count(kind: str):
+    def run(batches):
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            got = np.bincount(_flat(batch.column(0), kind)[0])
+            if len(got) > len(total):
+                total = np.pad(total, (0, len(got) - len(total)))
+            total[: len(got)] += got
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+
+    return run
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -167,8 +243,9 @@ def unpack(bits: bytes, checkpoints: np.ndarray, n_ids: int, table: tuple[np.nda
     return out.ravel()[:n_ids]
 
 
-def _blocks(lengths: np.ndarray):
+def _blocks(lengths: np.ndarray, kind: str):
     def run(batches):
+        width = np.dtype(kind).itemsize
         codes = canonical(lengths)
         context = TaskContext.get()
         part, block, offset = context.partitionId() if context else 0, 0, 0
@@ -176,7 +253,7 @@ def _blocks(lengths: np.ndarray):
 
         def flush():
             nonlocal block, offset, docs, counts, held, n
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.frombuffer(b"".join(held), kind)
             bits, n_bits, marks = pack(ids, codes, lengths)
             # null ids are told by their place: they sort first and are marked by a smallest long
             row = [part, block, offset, np.array(docs, "<i8").tobytes(), np.array(counts, "<u4").tobytes(), len(ids), n_bits, bits, marks.tobytes()]
@@ -189,10 +266,10 @@ def _blocks(lengths: np.ndarray):
         schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in BLOCK.split(", ")])
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if n and n + len(ids) // 4 > BLOCK_IDS:
+                if n and n + len(ids) // width > BLOCK_IDS:
                     yield flush()
                 docs.append(NO_ID if doc is None else doc)
-                counts.append(len(ids) // 4)
+                counts.append(len(ids) // width)
                 held.append(ids)
                 n += counts[-1]
         if n:
@@ -234,16 +311,19 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2
     """``docs`` as token ids, each text with ``end_id`` after it, under ``path``: blocks and the code's lengths."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    staged = cut(texts.mapInArrow(_encode(tokenizer, end_id), "doc_id long, ids binary"), "ids")
+    kind = id_type(tokenizer)
+    if end_id >= 1 << (8 * np.dtype(kind).itemsize):
+        kind = "<u4"
+    staged = cut(texts.mapInArrow(_encode(tokenizer, end_id, kind, lowers(tokenizer)), "doc_id long, ids binary"), "ids")
     # at most a row for each id of the vocabulary comes to the driver
-    counted = staged.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = staged.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max((r["id"] for r in counted), default=0), np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
     spark.createDataFrame([(int(i), int(lengths[i]), int(counts[i])) for i in np.flatnonzero(lengths)], "id long, bits int, n long").coalesce(1).write.parquet(f"{path}/code")
     ordered = staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(_blocks(lengths), BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ordered.mapInArrow(_blocks(lengths, kind), BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_token_file(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
