@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import activity, series
+from pulsegrid.plans import activity, relational, series
 
-MODULES = [activity, series]
+MODULES = [activity, series, relational]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
