@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import activity, relational, series
+from pulsegrid.plans import activity, relational, scalars, series
 
-MODULES = [activity, series, relational]
+MODULES = [activity, series, relational, scalars]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
