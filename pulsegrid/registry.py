@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import activity, relational, scalars, series
+from pulsegrid.plans import activity, forecasts, relational, scalars, series, streams
 
-MODULES = [activity, series, relational, scalars]
+MODULES = [activity, series, relational, scalars, forecasts, streams]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
+    if clash := QUERIES.keys() & _module.QUERIES.keys():
+        raise ValueError(f"queries registered twice: {sorted(clash)}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
