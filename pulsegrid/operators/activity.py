@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NO_ORG, NO_TOPIC = F.lit(None).cast("int"), F.lit(None).cast("string")
-
 
 def overall(records: DataFrame) -> DataFrame:
     """(month, record_type): distinct records; the weighted activity is that count."""
@@ -36,10 +34,11 @@ def by_both(records: DataFrame, orgs: DataFrame, topics: DataFrame) -> DataFrame
 def monthly_cube(records: DataFrame, orgs: DataFrame, topics: DataFrame) -> DataFrame:
     """All four breakdowns; a null organization or topic stands for all."""
     cols = ("month", "record_type", "org_id", "topic", "records", "weighted")
+    no_org, no_topic = F.lit(None).cast("int"), F.lit(None).cast("string")
     parts = [
-        overall(records).withColumn("org_id", NO_ORG).withColumn("topic", NO_TOPIC),
-        by_org(records, orgs).withColumn("topic", NO_TOPIC),
-        by_topic(records, topics).withColumn("org_id", NO_ORG),
+        overall(records).withColumn("org_id", no_org).withColumn("topic", no_topic),
+        by_org(records, orgs).withColumn("topic", no_topic),
+        by_topic(records, topics).withColumn("org_id", no_org),
         by_both(records, orgs, topics),
     ]
     cube = parts[0].select(*cols)
