@@ -14,6 +14,7 @@ ids keep one row each, ordered by their token ids; null document ids come first.
 
 from __future__ import annotations
 
+import re
 import zlib
 from unicodedata import is_normalized
 
@@ -46,25 +47,37 @@ def lowers(tokenizer: str) -> bool:
     return steps is not None and steps.normalize_str("E\u0301A \u0130") == "\u00e9a i\u0307"
 
 
-class Chunks(dict):
-    """Bytes of the ids of a chunk without spaces. Bounded; kept from task to task of a worker.
+class Chunks:
+    """``ids``: bytes of the ids of a chunk without spaces. Bounded; kept from task to task of a worker.
 
     New chunks of a slice are found together: those of letters only are one
     pre-token each, so the library encodes many of them in one text; a word with
-    ASCII marks after it is the word and the marks; any other goes alone.
+    ASCII marks after it is the word and the marks; any other goes alone. Words
+    of plain lower-case Latin letters, which no normalizer changes, go to the
+    same model without its normalizer, if that gives the same ids for a sample.
     """
 
+    _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+    _SAMPLE = ("the", "tions", "zebra", "été", "straße", "señor", "unthinkableness", "qzxv", "déjà")
+
     _MARKS = ".,;:!?*&$#%)\"]}-_/\\|+=~^`@"
     _known: dict[tuple[str, str], Chunks] = {}
 
-    def __init__(self, path: str, kind: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, kind: str, most: int = 1_000_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        super().__init__()
+        self.ids: dict[str, bytes] = {"": b""}
         self.library, self.kind, self.most = Tokenizer.from_file(path), kind, most
         self.library.no_truncation()
         self.library.no_padding()
-        self[""] = b""
+        self.plain = self.library
+        if lowers(path):
+            bare = Tokenizer.from_file(path)
+            bare.normalizer = normalizers.Sequence([])
+            bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            encoded = lambda t, w: t.encode(w, add_special_tokens=False).ids
+            if all(encoded(bare, w) == encoded(self.library, w) for w in self._SAMPLE):
+                self.plain = bare
 
     @classmethod
     def of(cls, path: str, kind: str) -> Chunks:
@@ -77,13 +90,14 @@ class Chunks(dict):
 
     def meet(self, chunks: set[str]) -> None:
         """Makes sure that all of ``chunks`` are known."""
-        new = chunks.difference(self)
+        known = self.ids
+        new = chunks.difference(known)
         if not new:
             return
-        if len(self) + len(new) > self.most:
-            self.clear()
-            self[""] = b""
-            new = chunks.difference(self)
+        if len(known) + len(new) > self.most:
+            known.clear()
+            known[""] = b""
+            new = chunks.difference(known)
         words, marked = set(), []
         for c in new:
             core = c.rstrip(self._MARKS)
@@ -91,26 +105,31 @@ class Chunks(dict):
                 words.add(c)
             elif core and core.isalpha() and core.lower().isalpha() and len(core) < len(c):
                 marked.append((c, core, c[len(core) :]))
-                if core not in self:
+                if core not in known:
                     words.add(core)
             else:
-                self[c] = self.alone(c)
-        many = list(words)
-        for i in range(0, len(many), 4000):
-            part = many[i : i + 4000]
-            got = self.library.encode(" ".join(part), add_special_tokens=False)
-            ids, of = np.array(got.ids, self.kind), np.array([-1 if x is None else x for x in got.word_ids], np.int64)
-            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-            if len(first) == len(part) and (of[first] == np.arange(len(part))).all():
-                raw, width = ids.tobytes(), ids.itemsize
-                at = (np.append(first, len(ids)) * width).tolist()
-                self.update(zip(part, (raw[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
-            else:
-                self.update((w, self.alone(w)) for w in part)
+                known[c] = self.alone(c)
+        plain = {w for w in words if self._PLAIN(w)}
+        for library, many in ((self.plain, list(plain)), (self.library, list(words - plain))):
+            for i in range(0, len(many), 256):
+                self._together(library, many[i : i + 256])
         for c, core, marks in marked:
-            if marks not in self:
-                self[marks] = self.alone(marks)
-            self[c] = self[core] + self[marks]
+            if marks not in known:
+                known[marks] = self.alone(marks)
+            known[c] = known[core] + known[marks]
+
+
+    def _together(self, library, words: list[str]) -> None:
+        """The ids of words of one pre-token each, told apart in one text by the pre-token of every id."""
+        got = library.encode(" ".join(words), add_special_tokens=False)
+        ids, of = np.array(got.ids, self.kind), np.array([-1 if x is None else x for x in got.word_ids], np.int64)
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        if len(first) == len(words) and (of[first] == np.arange(len(words))).all():
+            raw, width = ids.tobytes(), ids.itemsize
+            at = (np.append(first, len(ids)) * width).tolist()
+            self.ids.update(zip(words, (raw[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
+        else:
+            self.ids.update((w, self.alone(w)) for w in words)
 
 
 def _lowered(text: str) -> str:
@@ -127,7 +146,7 @@ def _encode(path: str, end_id: int, kind: str, lowers: bool):
     def run(batches):
         chunks = Chunks.of(path, kind)
         end = np.array([end_id], kind).tobytes()
-        at = chunks.__getitem__
+        at = chunks.ids.__getitem__
         for batch in batches:
             for i, j, _, _ in slices(batch.column(1)):
                 texts = [t or "" for t in batch.column(1)[i:j].to_pylist()]
