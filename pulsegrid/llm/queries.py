@@ -8,6 +8,7 @@ from pulsegrid.llm.lattice import op8_lattice
 from pulsegrid.llm.licenses import op10_licenses
 from pulsegrid.llm.mixing import op9_mixing
 from pulsegrid.llm.near_dup import op1_near_dup
+from pulsegrid.llm.oracles import ORACLES  # noqa: F401
 from pulsegrid.llm.pii import op3_pii
 from pulsegrid.llm.secrets import op7_secrets
 from pulsegrid.llm.token_counts import op6_token_counts
@@ -25,5 +26,3 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_licenses": op10_licenses,
 }
-
-ORACLES: dict[str, str] = {}
