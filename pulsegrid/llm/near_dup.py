@@ -3,7 +3,9 @@
 A document's set is its distinct k-word shingles. Equal sets collapse to one
 representative first, so groups of copies cost one row each. Then independent
 trees split the representatives: a node holds those that chose the same minwise
-tokens on the way down. Nodes of up to ``leaf`` members are compared
+tokens on the way down. Below the first level every path has tokens of its own
+at every level, so paths agree independently; they are made for the
+representatives in large nodes only. Nodes of up to ``leaf`` members are compared
 exhaustively; larger ones branch again. What is still
 large at the deepest level is dense: its members are first compared with the
 node's hub (the member nearest to its most usual tokens), and after those links
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.stages import components, cut
-from pulsegrid.llm.textops import mix, shingle_sets, slices
+from pulsegrid.llm.textops import SLICE_BYTES, mix, shingle_sets, slices
 
 #: Minwise tokens kept per document, trees (each starts from its own token), levels, branches at each level below the first, and members of a node that is compared exhaustively.
 POOL, TREES, LEVELS, BRANCHES, LEAF = 32, 16, 6, (3, 1, 1, 1, 1), 48
@@ -79,6 +81,32 @@ def _signatures(id_col: str, k: int):
     return run
 
 
+def _paths(level: int) -> int:
+    return TREES * math.prod(BRANCHES[: level - 1])
+
+
+def _deep_tokens(k: int):
+    """For each text and level below the first, a minwise token for every path, of a hash that nothing else uses."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, data, offsets in slices(batch.column(1), SLICE_BYTES >> 2):
+                h, so = shingle_sets(data, offsets, k)
+                full = np.flatnonzero(np.diff(so))
+                if not len(full):
+                    continue
+                at = so[:-1][full]
+                columns = [batch.column(0)[i:j].take(pa.array(full))]
+                for level in range(2, LEVELS + 1):
+                    tokens = np.empty((len(full), _paths(level)), np.uint32)
+                    for t in range(tokens.shape[1]):
+                        tokens[:, t] = np.minimum.reduceat(mix(h, 10_000 * level + t), at) & np.uint64(0xFFFFFFFF)
+                    columns.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(tokens.shape[1] * 4), len(full), [None, pa.py_buffer(tokens.tobytes())]).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", *(f"t{level}" for level in range(2, LEVELS + 1))])
+
+    return run
+
+
 def _sets(k: int):
     def run(batches):
         for batch in batches:
@@ -95,13 +123,13 @@ def _binary(column, width: int, dtype) -> np.ndarray:
 
 
 def _branches(level: int):
-    """(path, pool) -> next paths: tree t starts from token t; deeper levels choose other tokens by tree, level and branch."""
+    """(path, tokens) -> next paths: tree t starts from token t of the pool; deeper levels use the token that the path has there."""
 
     def run(batches):
         for batch in batches:
-            pool = _binary(batch.column("pool"), POOL, np.uint64)
             ids, n = batch.column("rep"), batch.column("n")
             if level == 1:
+                pool = _binary(batch.column("pool"), POOL, np.uint64)
                 sketch = np.ascontiguousarray((pool & np.uint64(255)).astype(np.uint8))
                 sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(POOL), len(pool), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
                 for t in range(TREES):
@@ -109,14 +137,12 @@ def _branches(level: int):
                 continue
             tree = batch.column("tree").to_numpy()
             node = batch.column("node").to_numpy().view(np.uint64)
+            tokens = _binary(batch.column("tokens"), _paths(level), np.uint32)
             for b in range(BRANCHES[level - 2]):
-                # a token that this path hasn't used: steps of an odd stride from the tree's own one
-                branch = tree // TREES if level > 2 else np.full(len(tree), b)
-                own = tree % TREES
-                pick = (own + (2 * ((own + 5 * branch) % 8) + 3) * (level - 1)) % POOL
-                token = pool[np.arange(len(pool)), pick]
+                own = tree + _paths(level - 1) * b
+                token = tokens[np.arange(len(tokens)), own].astype(np.uint64)
                 path = mix(node ^ mix(token, 40 + level), 60 + level + 10 * b)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array((own + TREES * branch).astype(np.int32)), ids, n], names=["node", "tree", "rep", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(own.astype(np.int32)), ids, n], names=["node", "tree", "rep", "n"])
 
     return run
 
@@ -263,7 +289,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if level == LEVELS:
             dense = large
         else:
-            rows = large.join(reps.select("rep", "pool"), "rep")
+            if first:
+                # a second look at the texts in large nodes only; an id with several sets has tokens of each
+                chosen = texts.join(large.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+                deep = chosen.mapInArrow(_deep_tokens(k), "rep long" + "".join(f", t{x} binary" for x in range(2, LEVELS + 1)))
+                deep = cut(deep.dropDuplicates(["rep", "t2"]), "tokens")
+            rows = large.join(deep.select("rep", F.col(f"t{level + 1}").alias("tokens")), "rep")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)

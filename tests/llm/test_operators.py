@@ -85,6 +85,22 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty, monkeypatch):
     assert N.near_duplicates(empty).collect() == []
 
 
+def test_near_duplicates_of_a_large_star(spark):
+    """Members reach the similarity with the centre only, and there are too many for a leaf at any level."""
+    rnd = random.Random(11)
+    centre = [f"c{i}" for i in range(200)]
+    rows = [(0, " ".join(centre), "en", "a")]
+    for i in range(1, 1501):
+        words = list(centre)
+        for at in rnd.sample(range(5, 195, 10), 5):
+            words[at + rnd.randrange(5)] = f"m{i}x{at}"
+        rows.append((i, " ".join([*words, *(f"e{i}y{j}" for j in range(5))]), "en", "a"))
+    sets = [shingles(t) for _, t, _, _ in rows]
+    assert all(100 * len(sets[0] & s) >= 75 * len(sets[0] | s) for s in sets)
+    got = N.near_duplicates(table(spark, rows)).collect()
+    assert [r["doc_id"] for r in got if r["component_id"] != 0] == []
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(5000, 5000)]
     random.Random(1).shuffle(edges)
