@@ -5,7 +5,8 @@ inside a sentence) turn into typed placeholders, everything else is lowered and
 stripped of outer punctuation. Windows of ``k`` template words are hashed on
 both sides and joined by hash, so a question with other numbers or names still
 meets its original. For every alignment of a text with an item the slots are
-then checked: equal originals must have equal replacements. A text is reported
+then checked: equal originals must have equal replacements. Windows of mostly
+placeholders say too little as templates: they meet word for word. A text is reported
 for an item if consistent alignments cover enough of the item's windows.
 
 The documents' windows are made, hashed and looked up in one generated loop.
@@ -23,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words in a window, share of an item's windows that must be covered, most placeholders in a window that counts, and most windows that are broadcast.
+#: Words in a window, share of an item's windows that must be covered, most placeholders in a window that meets as a template, and most windows that are broadcast.
 WINDOW, COVERED, MOST_SLOTS, BROADCAST_WINDOWS = 8, 0.5, 4, 200_000
 
+PLACEHOLDERS = "'<n>', '<u>', '<p>'"
+
 #: Units as fixed values, written after a number.
 UNITS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces pound pounds lb lbs "
@@ -35,7 +38,7 @@ UNITS = (
 
 
 def _templates(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """``words`` as written and ``template``: both of the same length."""
+    """``words`` as written, ``literal`` (lowered) and ``template``: all of the same length."""
     rows = rows.select(*keep, F.expr(f"filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x != '')").alias("words"))
     core = r"regexp_replace(x, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}%]+$', '')"
     rows = rows.select(*keep, "words", F.expr(f"transform(words, x -> {core})").alias("core"))
@@ -43,18 +46,27 @@ def _templates(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
     before = r"get(core, i - 1) rlike '^[0-9][0-9.,:/]*$'"
     units = ", ".join(f"'{u}'" for u in UNITS)
     name = r"i > 0 and x rlike '^\\p{Lu}' and not (get(words, i - 1) rlike '[.!?:;]\\W*$')"
-    return rows.select(*keep, "words", F.expr(f"transform(core, (x, i) -> case when {number} then '<n>' when i > 0 and {before} and lower(x) in ({units}) then '<u>' when {name} then '<p>' else lower(x) end)").alias("template"))
+    return rows.select(*keep, "words", F.expr("transform(core, x -> lower(x))").alias("literal"), F.expr(f"transform(core, (x, i) -> case when {number} then '<n>' when i > 0 and {before} and lower(x) in ({units}) then '<u>' when {name} then '<p>' else lower(x) end)").alias("template"))
 
 
-def _hashed(rows: DataFrame, keep: list[str], k: int) -> DataFrame:
-    """A row for each window: ``at``, ``window``.
+def _hashed(rows: DataFrame, keep: list[str], k: int, literal: bool) -> DataFrame:
+    """A row for each window: ``at``, ``window``. With ``literal``, windows of more than MOST_SLOTS placeholders hash their words.
 
     No filter may stand on the arrays: it would be pushed below them with all that makes them in it.
     ``explode_outer`` keeps Spark from adding one; a text without words gives one window that no item has.
     """
-    rows = rows.select(*keep, F.expr("transform(template, x -> xxhash64(x))").alias("h"))
-    rows = rows.select(*keep, "h", F.explode_outer(F.expr(f"sequence(0, greatest(size(h) - {k}, 0))")).alias("at"))
-    return rows.select(*keep, "at", F.expr("xxhash64(" + ", ".join(f"get(h, at + {j})" for j in range(k)) + ")").alias("window"))
+    hashes = [F.expr("transform(template, x -> xxhash64(x))").alias("h")]
+    if literal:
+        hashes += [F.expr("transform(literal, x -> xxhash64(x))").alias("v"), F.expr(f"transform(template, x -> if(x in ({PLACEHOLDERS}), 1, 0))").alias("s")]
+    rows = rows.select(*keep, *hashes)
+    arrays = ["h", "v", "s"] if literal else ["h"]
+    rows = rows.select(*keep, *arrays, F.explode_outer(F.expr(f"sequence(0, greatest(size(h) - {k}, 0))")).alias("at"))
+    part = lambda x: ", ".join(f"get({x}, at + {j})" for j in range(k))
+    window = f"xxhash64({part('h')})"
+    if literal:
+        held = " + ".join(f"coalesce(get(s, at + {j}), 0)" for j in range(k))
+        window = f"if({held} > {MOST_SLOTS}, xxhash64(1, {part('v')}), {window})"
+    return rows.select(*keep, "at", F.expr(window).alias("window"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = WINDOW, covered: float = COVERED) -> DataFrame:
@@ -63,19 +75,24 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     b = items.where(F.col(item_id).isNotNull() & F.col(item_text).cast("string").rlike(r"[^\x20\x09-\x0D]")).select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
 
     b = _templates(b, ["item_id"], "text")
-    slots = lambda x: f"filter(transform(sequence(0, {k - 1}), j -> struct(get({x}template, at + j) as kind, get({x}words, at + j) as value)), s -> s.kind in ('<n>', '<u>', '<p>'))"
-    windows = _hashed(b.select("item_id", "words", "template"), ["item_id", "words", "template"], k)
-    windows = windows.select("item_id", F.col("at").alias("item_at"), "window", F.expr(slots("")).alias("item_slots")).where(f"size(item_slots) <= {MOST_SLOTS}")
+    slots = lambda x: f"filter(transform(sequence(0, {k - 1}), j -> struct(get({x}template, at + j) as kind, get({x}words, at + j) as value)), s -> s.kind in ({PLACEHOLDERS}))"
+    windows = _hashed(b, ["item_id", "words", "template"], k, True)
+    windows = windows.select("item_id", F.col("at").alias("item_at"), "window", F.expr(slots("")).alias("item_slots"))
     windows = windows.withColumn("n_windows", F.expr("1"))
     sizes = windows.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"))
     windows = windows.drop("n_windows")
+    # without such windows on the items' side those of the documents meet nothing in either form
+    literal = not windows.where(f"size(item_slots) > {MOST_SLOTS}").isEmpty()
     few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
 
     t = _templates(d, ["doc_id"], "text")
-    made = _hashed(t, ["doc_id", "words", "template"], k)
+    made = _hashed(t, ["doc_id", "words", "template"], k, literal)
     met = made.join(F.broadcast(windows) if few else windows, "window")
     # a document's slots are read off only where a window met
-    met = met.select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.expr(f"zip_with(item_slots, {slots('')}, (x, y) -> struct(x.kind as kind, regexp_replace(x.value, '[^\\\\p{{L}}\\\\p{{N}}]', '') as item, regexp_replace(y.value, '[^\\\\p{{L}}\\\\p{{N}}]', '') as doc))").alias("slots"))
+    plain = lambda x: f"regexp_replace({x}.value, '[^\\\\p{{L}}\\\\p{{N}}]', '')"
+    same = f"transform(item_slots, x -> struct(x.kind as kind, {plain('x')} as item, {plain('x')} as doc))"
+    other = f"zip_with(item_slots, {slots('')}, (x, y) -> struct(x.kind as kind, {plain('x')} as item, {plain('y')} as doc))"
+    met = met.select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.expr(f"if(size(item_slots) > {MOST_SLOTS}, {same}, {other})").alias("slots"))
     aligned = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     # every original has one replacement
     aligned = aligned.where(F.expr("size(array_distinct(transform(slots, s -> struct(s.kind, s.item)))) = size(slots)"))

@@ -260,6 +260,19 @@ def test_decontamination(spark, docs, empty):
     assert D.contaminated(empty, items).collect() == [] and D.contaminated(docs, items.where("false")).collect() == []
 
 
+def test_decontamination_of_slot_heavy_items(spark):
+    table_item = "Population 1990 2000 2010 2020: 12 15 18 21 27 33 41 56 62 70 88 93"
+    items = spark.createDataFrame([(1, table_item), (2, "Die Katze Anna Bert Carl Dora Emil Frieda Gustav Hanna Ida Jakob")], "item_id long, text string")
+    rows = [
+        (1, f"Some words stand before this table. {table_item} and some behind it.", "en", "a"),
+        (2, "Some words stand before this table. " + table_item.replace("1", "3") + " and some behind it.", "en", "a"),
+        (3, "Es kamen an diesem Tag. Die Katze Anna Bert Carl Dora Emil Frieda Gustav Hanna Ida Jakob", "de", "a"),
+        (4, "Es kamen an diesem Tag Die Katze Anna Bert Carl Dora Emil Frieda Gustav Hanna Ida Jakob", "de", "a"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["reworded"]) for r in D.contaminated(table(spark, rows), items).collect()}
+    assert got == {(1, 1): (1.0, False), (3, 2): (1.0, False), (4, 2): (1.0, False)}  # other numbers make it another table
+
+
 def test_decontamination_finds_all_copies(spark, sf_dir):
     norm = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
     texts = {r["doc_id"]: norm(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
