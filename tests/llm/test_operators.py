@@ -273,6 +273,22 @@ def test_decontamination_of_slot_heavy_items(spark):
     assert got == {(1, 1): (1.0, False), (3, 2): (1.0, False), (4, 2): (1.0, False)}  # other numbers make it another table
 
 
+def test_decontamination_of_short_items_and_first_words(spark):
+    items = [(1, "Name the capital of Norway"), (2, "Every river runs down to one wide sea"), (3, "weighs 12 kg"), (4, "Anna 12 kg")]
+    rows = [
+        (1, "We ask the class: name the capital of Norway, and wait for all of the answers.", "en", "a"),
+        (2, "The class was told to Name the capital of Norway and then all of them went home.", "en", "a"),
+        (3, "Name the capital of Sweden before you name any other of those towns in there.", "en", "a"),
+        (4, "In the song that Every river runs down to one wide sea is the last line.", "en", "a"),
+        (5, "Nobody knows why the largest of these stones weighs 700 kg in the dry season.", "en", "a"),
+        (6, "The list by the door says Anna 12 kg and below it Otto 15 kg for today.", "en", "a"),
+        (7, "name the capital of Norway", "en", "a"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r["reworded"] for r in D.contaminated(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    # the third text has another name where the item has a name: the same question with another parameter
+    assert got == {(1, 1): False, (2, 1): False, (3, 1): True, (4, 2): False, (6, 4): False, (7, 1): False}
+
+
 def test_decontamination_finds_all_copies(spark, sf_dir):
     norm = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
     texts = {r["doc_id"]: norm(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
