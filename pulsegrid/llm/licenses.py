@@ -52,14 +52,50 @@ SENTENCES = {
     "cc0-work": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "All rights reserved",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "lgpl-see": "See the GNU Lesser General Public License for more details",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-see": "See the GNU Affero General Public License for more details",
+    "epl-work": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "ccbysa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
 }
 
+# Names that stand in sentences that only refer to a licence, and what stands before them.
+NAMES = {
+    "MIT": ("MIT License", "MIT licence"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License"),
+    "ISC": ("ISC License",),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, version 2.0"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "Zlib": ("zlib License",),
+    "CC-BY-4.0": ("CC BY 4.0",),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0",),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0",),
+    "CC0-1.0": ("CC0 1.0",),
+}
+REFERRING = ["Licensed", "Released", "Distributed", *(f"This {x} is {y}" for x in ("project", "software", "work", "program", "library", "package", "code", "file", "repository") for y in ("licensed", "released", "distributed"))]
+
 # Rules in order, the longest sequences first.
 RULES = [
     ("Apache-2.0", ("apache-grant", "apache-comply", "apache-copy", "apache-asis", "apache-see")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("MIT", ("mit-grant", "mit-notice", "mit-asis")),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "gpl-hope", "lgpl-see")),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope", "agpl-see")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see")),
     ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-see")),
     ("MIT", ("mit-grant", "mit-notice")),
@@ -79,6 +115,14 @@ RULES = [
     ("CC0-1.0", ("cc0-work",)),
     ("Unlicense", ("unlicense",)),
     ("LicenseRef-All-Rights-Reserved", ("reserved",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("EPL-2.0", ("epl-work",)),
+    ("Zlib", ("zlib-asis", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("CC-BY-SA-4.0", ("ccbysa-work",)),
+    *((x, (f"ref {x}",)) for x in NAMES),
 ]
 
 #: Unknown sentences that may stand between two of a rule.
@@ -86,6 +130,8 @@ GAP = 3
 
 _END = re.compile(r"(?<=[.!?;:])[\s]+|[\r\n]*\n[\s*#/-]*\n[\r\n]*|\s+(?=\(?[0-9a-z][.)]\s)")
 _OUTSIDE = re.compile(r"[^a-z0-9]+")
+# years and holder of a copyright line, up to the next sentence on it
+_COPYRIGHT = re.compile(r"^[^\w\n(©]*(?:copyright[^\S\n]*(?:\(c\)|©|(?=[^\S\n][0-9]{4}))|(?:\(c\)|©)(?=[^\S\n]*[0-9]{4}))[^\n]*?(?=[.!?;:]\s|[.,]?[^\S\n]*$|[\s,]all rights reserved)", re.I | re.M)
 _SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
 
 
@@ -100,6 +146,10 @@ _LONGEST = max(map(len, _KNOWN))
 _PIECES: dict[str, list[str]] = {}
 for _k, _s in SENTENCES.items():
     _PIECES[_k] = [p for p in (normalised(x) for x in _END.split(_s)) if p]
+for _x, _names in NAMES.items():
+    for _s in dict.fromkeys(f"{r} under {the}{n}" for r in REFERRING for the in ("the ", "") for n in _names):
+        if normalised(_s) not in _KNOWN:
+            _PIECES[f"ref {_x}|{_s}"] = [p for p in (normalised(x) for x in _END.split(_s)) if p]
 _FIRST: dict[str, list[str]] = {}
 for _k, _p in _PIECES.items():
     _FIRST.setdefault(_p[0], []).append(_k)
@@ -110,7 +160,7 @@ for _k in _FIRST.values():
 def sentences(text: str) -> list[str]:
     """Normalised sentences; a line end ends one where the line before is a whole known sentence."""
     out: list[str] = []
-    for block in _END.split(text):
+    for block in _END.split(_COPYRIGHT.sub("\n\nCopyright\n\n", text)):
         if "\n" in block:
             lines = block.split("\n")
             whole = [normalised(x) for x in lines]
@@ -138,7 +188,7 @@ def identifiers(found: list[str]) -> list[tuple[int, str]]:
         for k in _FIRST.get(found[i], ()):
             p = _PIECES[k]
             if found[i : i + len(p)] == p:
-                out.append((i, k))
+                out.append((i, k.split("|")[0]))
                 i += len(p) - 1
                 break
         i += 1

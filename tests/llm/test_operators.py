@@ -382,6 +382,17 @@ def test_licences(spark, docs, empty):
     assert X.licences(docs).count() == len(odd_rows()) and X.licences(empty).collect() == []
 
 
+def test_licences_below_copyright_lines_and_by_reference():
+    grant = X.SENTENCES["isc-grant"].replace(" for any", "\nfor any").replace(" copyright", "\ncopyright")
+    assert X.scan(f"Copyright (c) 2020 Foo\n{grant}.") == (2, 1, "ISC")
+    assert X.scan("Copyright 2020 Foo Inc. All rights reserved.\n")[2] == "LicenseRef-All-Rights-Reserved"
+    assert X.scan("(c) 2020 Foo. Licensed under the MIT License.")[2] == "MIT"
+    assert X.scan("This project is licensed under the MIT License.")[2] == "MIT"
+    assert X.scan("Distributed under the Boost Software License, Version 1.0.")[2] == "BSL-1.0"
+    for name in ("lgpl21-free", "agpl-free", "epl-work", "zlib-grant", "ccbysa-work"):
+        assert X.scan(X.SENTENCES[name] + ".")[2] in ("LGPL-2.1-or-later", "AGPL-3.0-or-later", "EPL-2.0", "Zlib", "CC-BY-SA-4.0")
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as P
 
