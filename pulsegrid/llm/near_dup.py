@@ -6,16 +6,26 @@ trees split the representatives: a node holds those that chose the same minwise
 tokens on the way down. Below the first level every path has tokens of its own
 at every level, so paths agree independently; they are made for the
 representatives in large nodes only. Nodes of up to ``leaf`` members are compared
-exhaustively; larger ones branch again. What is still
-large at the deepest level is dense: its members are first compared with the
-node's hub (the member nearest to its most usual tokens), and after those links
-are known only pairs that are not yet connected remain. Every link is confirmed
-on full sets; sketches of 8-bit hashes only spare hopeless comparisons (a pair
-at the very threshold fails them with probability about 1e-5).
+exhaustively.
+
+A large node is thinned before it branches. All its members meet its hub (the
+member nearest to its most usual tokens). Those linked with the hub, its core,
+are one component, so they leave the tree. As Jaccard distance is a metric, only
+members within twice the linking distance of the hub can be linked with the
+core; these meet it in blocks at the end, if they are not connected by then.
+What is left of the node branches. Families of copies thus cost rows in
+proportion to their size, and no link is given up.
+
+Every link is confirmed on full sets; sketches of 8-bit hashes only spare
+hopeless comparisons (a pair at the very threshold fails them with probability
+about 1e-5). Links between texts that are known to be connected are not confirmed
+again: the result is made of components.
 
 Results: a null or empty text, or one of only spaces, has an empty set and is
 linked with nothing. Rows with a null id are returned unlinked, with a null
-component and kept = true. Rows that share an id count as one node.
+component and kept = true. Rows that share an id and differ in their texts may be linked
+through one another. Repeated rows are returned as often as they come; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,30 +37,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.stages import components, cut
-from pulsegrid.llm.textops import SLICE_BYTES, mix, shingle_sets, slices
+from pulsegrid.llm.stages import components, cut, merged
+from pulsegrid.llm.textops import SLICE_BYTES, mix, released, shingle_sets, slices
 
 #: Minwise tokens kept per document, trees (each starts from its own token), levels, branches at each level below the first, and members of a node that is compared exhaustively.
-POOL, TREES, LEVELS, BRANCHES, LEAF = 32, 16, 6, (3, 1, 1, 1, 1), 48
-#: Members of a dense node that meet as one block.
-BLOCK = 256
+POOL, TREES, LEVELS, BRANCHES, LEAF = 32, 16, 6, (1, 2, 2, 2, 2), 48
+#: Members of a core, and of what is near to it, that meet as one block.
+BLOCK = 512
+#: Members whose tokens name a large node's most usual ones, by which its hub is chosen.
+VOTERS = 64
 #: Positions of the wide sketch, by one-permutation hashing of the set.
-WIDE = 512
+WIDE = 256
 #: Sketch positions that must agree before full sets are compared: this many deviations below the mean at the similarity asked for.
 DEVIATIONS = 4.2
+#: Rows that are confirmed together.
+ROWS = 128
+
+
+def _fixed(values: np.ndarray) -> pa.Array:
+    """Each row's bytes as one binary value."""
+    width = values.shape[1] * values.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(values), [None, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _binary(column, width: int, dtype) -> np.ndarray:
+    """The bytes of a binary column without nulls as rows of ``width`` items, in place."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, width), dtype)
+    _, offsets, data = column.buffers()
+    first = np.frombuffer(offsets, np.int32, 1, 4 * column.offset)[0]
+    return np.frombuffer(data, np.uint8, len(column) * width * np.dtype(dtype).itemsize, first).view(dtype).reshape(-1, width)
 
 
 def _wide_sketches(h: np.ndarray, so: np.ndarray) -> np.ndarray:
     """A byte for each of WIDE ranges of the hash: of the smallest item in it, 0 if there is none. The items are sorted, so that is the first."""
     wide = np.zeros((len(so) - 1, WIDE), np.uint8)
     if len(h):
-        cell = np.repeat(np.arange(len(so) - 1) * WIDE, np.diff(so)) + (h >> np.uint64(55)).astype(np.int64)
+        cell = np.repeat(np.arange(len(so) - 1) * WIDE, np.diff(so)) + (h >> np.uint64(64 - WIDE.bit_length() + 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         wide.ravel()[cell[first]] = (mix(h[first], 77) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
     return wide
 
 
-def _signatures(id_col: str, k: int):
+def _signatures(k: int):
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in slices(batch.column(1)):
@@ -59,34 +90,34 @@ def _signatures(id_col: str, k: int):
                 full = np.flatnonzero(n)
                 at = so[:-1][full]
                 keys = np.zeros((2, len(n)), np.uint64)
-                pool = np.zeros((len(n), POOL), np.uint64)
+                pool = np.zeros((len(n), POOL), np.uint32)
                 if len(full):
                     for t in range(2):
                         keys[t, full] = np.add.reduceat(mix(h, 900 + t), at)
                     for t in range(POOL):
-                        pool[full, t] = np.minimum.reduceat(mix(h, t), at)
-                wide = _wide_sketches(h, so)
+                        pool[full, t] = np.minimum.reduceat(mix(h, t), at) & np.uint64(0xFFFFFFFF)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[i:j],
-                        pa.array(n.astype(np.int64)),
-                        pa.array(keys[0].view(np.int64)),
-                        pa.array(keys[1].view(np.int64)),
-                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(POOL * 8), len(n), [None, pa.py_buffer(pool.tobytes())]).cast(pa.binary()),
-                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDE), len(n), [None, pa.py_buffer(wide.tobytes())]).cast(pa.binary()),
-                    ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "pool", "wide"],
+                    [batch.column(0)[i:j], pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), _fixed(pool), _fixed((pool & 255).astype(np.uint8)), _fixed(_wide_sketches(h, so))],
+                    names=["doc_id", "n_shingles", "k1", "k2", "pool", "sketch", "wide"],
                 )
 
-    return run
+    return released(run)
 
 
 def _paths(level: int) -> int:
     return TREES * math.prod(BRANCHES[: level - 1])
 
 
-def _deep_tokens(k: int):
-    """For each text and level below the first, a minwise token for every path, of a hash that nothing else uses."""
+def _first_nodes(batches):
+    """(rep, pool) -> the node of each tree at the first level."""
+    for batch in batches:
+        pool = _binary(batch.column("pool"), POOL, np.uint32).astype(np.uint64)
+        for t in range(TREES):
+            yield pa.RecordBatch.from_arrays([pa.array(mix(pool[:, t], t).view(np.int64)), pa.array(np.full(len(pool), t, np.int32)), batch.column("rep")], names=["node", "path", "rep"])
+
+
+def _level_tokens(k: int, level: int):
+    """For each text a minwise token for every path of a level, of a hash that nothing else uses."""
 
     def run(batches):
         for batch in batches:
@@ -95,73 +126,42 @@ def _deep_tokens(k: int):
                 full = np.flatnonzero(np.diff(so))
                 if not len(full):
                     continue
-                at = so[:-1][full]
-                columns = [batch.column(0)[i:j].take(pa.array(full))]
-                for level in range(2, LEVELS + 1):
-                    tokens = np.empty((len(full), _paths(level)), np.uint32)
-                    for t in range(tokens.shape[1]):
-                        tokens[:, t] = np.minimum.reduceat(mix(h, 10_000 * level + t), at) & np.uint64(0xFFFFFFFF)
-                    columns.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(tokens.shape[1] * 4), len(full), [None, pa.py_buffer(tokens.tobytes())]).cast(pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["rep", *(f"t{level}" for level in range(2, LEVELS + 1))])
-
-    return run
-
-
-def _sets(k: int):
-    def run(batches):
-        for batch in batches:
-            for i, j, data, offsets in slices(batch.column(1)):
-                h, so = shingle_sets(data, offsets, k)
-                out = [h[so[x] : so[x + 1]].tobytes() for x in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(out, pa.binary())], names=["doc_id", "items"])
-
-    return run
+                tokens = np.empty((len(full), _paths(level)), np.uint32)
+                for t in range(tokens.shape[1]):
+                    tokens[:, t] = np.minimum.reduceat(mix(h, 10_000 * level + t), so[:-1][full]) & np.uint64(0xFFFFFFFF)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(full)), _fixed(tokens)], names=["rep", "tokens"])
 
-
-def _binary(column, width: int, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+    return released(run)
 
 
-def _branches(level: int):
-    """(path, tokens) -> next paths: tree t starts from token t of the pool; deeper levels use the token that the path has there."""
+def _next_nodes(level: int):
+    """(node, path, rep, tokens) -> each node's branches, by the token that the branch's path has at this level."""
 
     def run(batches):
         for batch in batches:
-            ids, n = batch.column("rep"), batch.column("n")
-            if level == 1:
-                pool = _binary(batch.column("pool"), POOL, np.uint64)
-                sketch = np.ascontiguousarray((pool & np.uint64(255)).astype(np.uint8))
-                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(POOL), len(pool), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
-                for t in range(TREES):
-                    yield pa.RecordBatch.from_arrays([pa.array(mix(pool[:, t], t).view(np.int64)), pa.array(np.full(len(pool), t, np.int32)), ids, n, sketch], names=["node", "tree", "rep", "n", "sketch"])
-                continue
-            tree = batch.column("tree").to_numpy()
-            node = batch.column("node").to_numpy().view(np.uint64)
+            path, node = batch.column("path").to_numpy(), batch.column("node").to_numpy().view(np.uint64)
             tokens = _binary(batch.column("tokens"), _paths(level), np.uint32)
             for b in range(BRANCHES[level - 2]):
-                own = tree + _paths(level - 1) * b
-                token = tokens[np.arange(len(tokens)), own].astype(np.uint64)
-                path = mix(node ^ mix(token, 40 + level), 60 + level + 10 * b)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(own.astype(np.int32)), ids, n], names=["node", "tree", "rep", "n"])
+                own = path * BRANCHES[level - 2] + b
+                down = mix(node ^ mix(tokens[np.arange(len(tokens)), own].astype(np.uint64), 40 + level), 60 + level + 10 * b)
+                yield pa.RecordBatch.from_arrays([pa.array(down.view(np.int64)), pa.array(own.astype(np.int32)), batch.column("rep")], names=["node", "path", "rep"])
 
     return run
 
 
-def _plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+def _plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: float) -> np.ndarray:
     """Sizes allow the similarity, and the sketches' agreement does not speak against it."""
     ok = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
     p = percent / 100
-    if a.shape[1] == WIDE:
-        told = ((a | b) != 0).sum(1)
-        agree = ((a == b) & (a != 0)).sum(1)
-    else:
+    if a.shape[1] != WIDE:
         return ok & ((a == b).sum(1) >= p * POOL - DEVIATIONS * math.sqrt(p * (1 - p) * POOL) - 1)
+    told, agree = ((a | b) != 0).sum(1), ((a == b) & (a != 0)).sum(1)
     # told of the union's items are seen, drawn without replacement
     unseen = np.clip(1 - told * (1 + p) / np.maximum(1, n_a + n_b), 0.02, 1)
     return ok & (agree >= p * told - DEVIATIONS * np.sqrt(p * (1 - p) * told * unseen) - 1)
 
 
-def _leaf_pairs(percent: int, width: int):
+def _leaf_pairs(percent: int):
     """All plausible pairs of each small node."""
 
     def run(batches):
@@ -173,7 +173,7 @@ def _leaf_pairs(percent: int, width: int):
             size = np.diff(members.offsets.to_numpy())
             at = np.concatenate([[0], np.cumsum(size)])
             rep, n = (flat.field(x).to_numpy() for x in ("rep", "n"))
-            sketch = _binary(flat.field("sketch"), width, np.uint8)
+            sketch = _binary(flat.field("sketch"), POOL, np.uint8)
             for m in np.unique(size):
                 first = at[:-1][size == m]
                 a, b = np.triu_indices(m, 1)
@@ -185,79 +185,131 @@ def _leaf_pairs(percent: int, width: int):
                     p, q = rep[left[ok]], rep[right[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
-    return run
+    return released(run)
 
 
-def _row_pairs(percent: int):
-    """Rows that hold both sides with wide sketches: the plausible ones, with their agreement."""
+def _row_pairs(percent: int, near: float):
+    """Rows that hold both sides with wide sketches: the pairs that may be near, how many positions agree, and whether they may be linked."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 c = {x: batch.column(x).slice(at, 8192) for x in ("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")}
                 x, y = _binary(c["sketch_a"], WIDE, np.uint8), _binary(c["sketch_b"], WIDE, np.uint8)
-                ok = _plausible(x, y, c["n_a"].to_numpy(), c["n_b"].to_numpy(), percent)
+                n_a, n_b = c["n_a"].to_numpy(), c["n_b"].to_numpy()
+                core = _plausible(x, y, n_a, n_b, percent)
+                ok = core | _plausible(x, y, n_a, n_b, near) if near < percent else core
                 agree = pa.array(((x == y) & (x != 0)).sum(1).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([c["a"], c["b"], agree], names=["a", "b", "agree"]).filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([c["a"], c["b"], agree, pa.array(core)], names=["a", "b", "agree", "core"]).filter(pa.array(ok))
+
+    return released(run)
 
-    return run
+
+PAIR_ROWS = "a long, b long, agree int, core boolean"
 
 
 def _block_pairs(percent: int):
-    """Two blocks of a dense node (loose members, any members): the plausible pairs that are not connected yet."""
+    """Two blocks, of members with their components: the plausible pairs that are not connected yet."""
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 us, ws = batch.column("us")[row].values, batch.column("ws")[row].values
-                main = batch.column("main")[row].as_py()
                 (u, n_u, part_u), (w, n_w, part_w) = ([x.field(c).to_numpy() for c in ("rep", "n", "part")] for x in (us, ws))
                 x, y = _binary(us.field("sketch"), WIDE, np.uint8), _binary(ws.field("sketch"), WIDE, np.uint8)
-                i, j = np.nonzero((part_u[:, None] != part_w) & ((part_w == main) | (u[:, None] < w)) & (100 * np.minimum(n_u[:, None], n_w) >= percent * np.maximum(n_u[:, None], n_w)))
+                i, j = np.nonzero((part_u[:, None] != part_w) & (100 * np.minimum(n_u[:, None], n_w) >= percent * np.maximum(n_u[:, None], n_w)))
                 for at in range(0, len(i), 8192):
                     p, q = i[at : at + 8192], j[at : at + 8192]
                     ok = _plausible(x[p], y[q], n_u[p], n_w[q], percent)
                     a, b = u[p[ok]], w[q[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return run
+    return released(run)
+
 
+def _profiles(batches):
+    """(node, sketches of its voters) -> the most usual byte of each position."""
+    for batch in batches:
+        told = []
+        for row in range(batch.num_rows):
+            votes = _binary(batch.column("votes")[row].values, POOL, np.uint8)
+            counts = np.zeros((POOL, 256), np.int32)
+            np.add.at(counts, (np.arange(POOL)[None, :], votes), 1)
+            told.append(counts.argmax(1).astype(np.uint8))
+        profile = _fixed(np.array(told, np.uint8).reshape(-1, POOL))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), profile], names=["node", "profile"])
 
-PAIR_ROWS = "a long, b long, agree int"
 
+def _agreement(batches):
+    for batch in batches:
+        agree = (_binary(batch.column("sketch"), POOL, np.uint8) == _binary(batch.column("profile"), POOL, np.uint8)).sum(1)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("rep"), pa.array(agree.astype(np.int32))], names=["node", "rep", "agree"])
+
+
+def _confirm(k: int, percent: int):
+    """Rows with both whole texts: those whose full sets reach the similarity."""
+
+    def sets(texts):
+        for _, _, data, offsets in slices(texts):
+            h, so = shingle_sets(data, offsets, k)
+            yield from (h[so[x] : so[x + 1]] for x in range(len(so) - 1))
 
-def _confirm(percent: int):
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = len(q) - 1
-                shared = int((q[at] == p).sum())
-                ok.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
+            for at in range(0, batch.num_rows, ROWS):
+                part, ok = batch.slice(at, ROWS), []
+                for p, q in zip(sets(part.column("text_a")), sets(part.column("text_b")), strict=True):
+                    if not len(p) or not len(q):
+                        ok.append(False)
+                        continue
+                    if len(p) > len(q):
+                        p, q = q, p
+                    place = np.searchsorted(q, p)
+                    place[place == len(q)] = len(q) - 1
+                    shared = int((q[place] == p).sum())
+                    ok.append(100 * shared >= percent * (len(p) + len(q) - shared))
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return released(run)
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity; only the texts in pairs are shuffled, as sets."""
+    """The pairs whose full sets reach the similarity, as a table; only the texts in pairs are shuffled."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    chosen = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = cut(chosen.mapInArrow(_sets(k), "doc_id long, items binary"), "sets")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"items_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long")
+    chosen = texts.join(wanted, "doc_id", "left_semi")
+    side = lambda x: chosen.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    return cut(met.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+
 
+def _sized(nodes: DataFrame) -> DataFrame:
+    """Nodes of more than one member, with their size. A table, so that a large node's rows may be dealt to several tasks."""
+    return cut(nodes.join(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node"), "sized")
 
-def _dense_hubs(dense: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(node, hub): the member that agrees with most of the node's most usual tokens, the smallest such."""
-    told = dense.select("node", "rep").join(tokens, "rep").select("node", "rep", F.posexplode("tokens").alias("at", "token"))
-    usual = told.groupBy("node", "at", "token").count().groupBy("node", "at").agg(F.max_by("token", F.struct("count", "token")).alias("token"))
-    votes = told.join(usual, ["node", "at", "token"]).groupBy("node", "rep").count()
-    return votes.groupBy("node").agg(F.max_by("rep", F.struct("count", -F.col("rep"))).alias("hub"))
+
+def _leaves(sized: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    members = sized.where(F.col("size") <= LEAF).join(reps.select("rep", "n", "sketch"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members"))
+    return cut(members.select("members").mapInArrow(_leaf_pairs(percent), "a long, b long").distinct(), "leaves")
+
+
+def _hubs(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, hub): the member that agrees most with the node's most usual tokens, the smallest such. Voters are the same in all trees, so a family's nodes agree on its hub."""
+    rows = cut(large.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "size", "sketch"), "members")
+    votes = rows.where(F.pmod(F.xxhash64("rep"), "size") < VOTERS).groupBy("node").agg(F.collect_list("sketch").alias("votes"))
+    told = rows.join(votes.mapInArrow(_profiles, "node long, profile binary"), "node").select("node", "rep", "sketch", "profile").mapInArrow(_agreement, "node long, rep long, agree int")
+    return cut(told.groupBy("node").agg(F.max_by("rep", F.struct("agree", -F.col("rep"))).alias("hub")), "hubs")
+
+
+def _met(us: DataFrame, ws: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs of us and ws (group, rep) within a group that are not connected yet, block by block."""
+    told = reps.select("rep", "n", F.col("wide").alias("sketch")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        count = rows.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        rows = rows.join(count, "group").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).join(told, "rep")
+        return rows.groupBy("group", F.col("block").alias(f"block_{name}")).agg(F.collect_list(F.struct("rep", "n", "part", "sketch")).alias(name))
+
+    return blocks(us, "us").join(blocks(ws, "ws"), "group").select("us", "ws").mapInArrow(_block_pairs(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -266,72 +318,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``set_id`` names the class of equal sets: the smallest id in it.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(texts.mapInArrow(_signatures("doc_id", k), "doc_id long, n_shingles long, k1 long, k2 long, pool binary, wide binary"), "signed")
+    signed = cut(texts.mapInArrow(_signatures(k), "doc_id long, n_shingles long, k1 long, k2 long, pool binary, sketch binary, wide binary"), "signed")
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = cut(linked.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("pool").alias("pool"), F.first("wide").alias("wide")).withColumnRenamed("n_shingles", "n"), "reps")
+    reps = linked.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("pool", "sketch", "wide")))
+    reps = cut(reps.withColumnRenamed("n_shingles", "n"), "reps")
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"sketch_{x}"))
+    held = lambda pairs, near: pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_row_pairs(percent, near), PAIR_ROWS)
 
-    # the trees, level by level; only nodes above the leaf size go on
-    rows, found, dense = reps.select("rep", "n", "pool"), [], None
-    sketches = reps.select("rep", F.col("wide").alias("sketch"))
+    # the trees, level by level; large nodes are thinned, and what is left of them goes on
+    found, cores, nears, last = [], [], [], None
+    sized = _sized(reps.select("rep", "pool").mapInArrow(_first_nodes, "node long, path int, rep long"))
     for level in range(1, LEVELS + 1):
-        first = level == 1
-        nodes = cut(rows.mapInArrow(_branches(level), "node long, tree int, rep long, n long" + ", sketch binary" * first), f"level{level}")
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = nodes.join(sizes, "node")
-        leaves = sized.where(F.col("size") <= LEAF)
-        if not first:
-            leaves = leaves.join(sketches, "rep")
-        members = leaves.groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members")).select("members")
-        found.append(members.mapInArrow(_leaf_pairs(percent, POOL if first else WIDE), "a long, b long"))
-        large = cut(sized.where(F.col("size") > LEAF).select("node", "tree", "rep", "n"), f"large{level}")
+        found.append(_leaves(sized, reps, percent))
+        large = sized.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
+        hubs = _hubs(large, reps)
+        spokes = large.join(hubs, "node").where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+        star = cut(held(spokes, 2 * percent - 100), "star")
+        worth = star.where("core").groupBy("b").count().where(F.col("count") >= LEAF).select("b")
+        core = _verified(texts, star.where("core").join(worth, "b", "left_semi"), k, percent)
+        centres = cut(core.select(F.col("b").alias("hub")).distinct(), "centres")
+        cores.append(core)
+        nears.append(star.join(centres, star["b"] == centres["hub"], "left_semi").select("a", "b").join(core, ["a", "b"], "left_anti"))
+        gone = core.select(F.col("a").alias("rep"), F.col("b").alias("hub")).union(centres.select(F.col("hub").alias("rep"), "hub"))
+        rest = large.join(hubs, "node").join(gone, ["rep", "hub"], "left_anti").select("node", "path", "rep")
+        rest = _sized(cut(rest, "rest"))
+        found.append(_leaves(rest, reps, percent))
+        rest = rest.where(F.col("size") > LEAF).drop("size")
         if level == LEVELS:
-            dense = large
-        else:
-            if first:
-                # a second look at the texts in large nodes only; an id with several sets has tokens of each
-                chosen = texts.join(large.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-                deep = chosen.mapInArrow(_deep_tokens(k), "rep long" + "".join(f", t{x} binary" for x in range(2, LEVELS + 1)))
-                deep = cut(deep.dropDuplicates(["rep", "t2"]), "tokens")
-            rows = large.join(deep.select("rep", F.col(f"t{level + 1}").alias("tokens")), "rep")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    pairs = cut(pairs.distinct(), "near")
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"sketch_{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_row_pairs(percent), PAIR_ROWS).select("a", "b")
-    if dense is not None:
-        # every dense member is held against the hub that it is most like
-        tokens = reps.join(dense.select("rep").distinct(), "rep", "left_semi").select("rep", F.expr(f"transform(sequence(0, {POOL - 1}), i -> substring(pool, 8 * i + 1, 8))").alias("tokens"))
-        hubs = cut(_dense_hubs(dense, tokens), "hubs")
-        spokes = dense.select("node", F.col("rep").alias("a")).join(hubs.withColumnRenamed("hub", "b"), "node").where("a != b").select("a", "b").distinct()
-        spokes = spokes.join(side("a"), "a").join(side("b"), "b").mapInArrow(_row_pairs(percent), PAIR_ROWS)
-        spokes = spokes.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
-        pairs = pairs.union(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = cut(pairs.distinct(), "pairs")
-    edges = cut(_verified(texts, pairs, k, percent), "links")
-    labels = components(edges)
-    if dense is not None:
-        # what is not connected with its node's hub meets the node's members in other components
-        known = dense.select("node", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        main = known.join(hubs.withColumnRenamed("hub", "rep"), ["node", "rep"]).select("node", F.col("component").alias("main"))
-        known = cut(known.join(main, "node"), "known")
-        sizes = known.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        known = known.join(sizes, "node").join(sketches.join(reps.select("rep", "n"), "rep"), "rep")
-        known = known.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        member = F.collect_list(F.struct("rep", "n", F.col("component").alias("part"), "sketch"))
-        loose = known.where("component != main").groupBy("node", F.col("block").alias("block_u")).agg(member.alias("us"))
-        other = known.groupBy("node", F.col("block").alias("block_w")).agg(F.first("main").alias("main"), member.alias("ws"))
-        met = loose.join(other, "node").select("us", "ws", "main").mapInArrow(_block_pairs(percent), "a long, b long").distinct()
-        met = cut(met.join(pairs, ["a", "b"], "left_anti"), "met")
+            last = rest.select(F.col("node").alias("group"), "rep")
+            break
+        if rest.isEmpty():
+            break
+        chosen = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+        tokens = chosen.mapInArrow(_level_tokens(k, level + 1), "rep long, tokens binary")
+        sized = _sized(cut(rest.join(tokens, "rep").mapInArrow(_next_nodes(level + 1), "node long, path int, rep long"), "nodes"))
+
+    both = lambda frames: frames[0] if len(frames) == 1 else frames[0].union(both(frames[1:]))
+    pairs = cut(held(both(found).distinct(), percent).select("a", "b", "agree"), "pairs")
+    # the likeliest link of every text comes first; the others are confirmed only where they join what is still apart
+    ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("x"))
+    best = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
+    edges = _verified(texts, cut(best, "best"), k, percent)
+    labels = components(both([edges, *cores]))
+    at = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"part_{x}"))
+    apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(part_a, a) != coalesce(part_b, b)").select("a", "b")
+    labels = merged(labels, _verified(texts, cut(apart.join(edges, ["a", "b"], "left_anti"), "apart"), k, percent))
+    if cores:
+        # what is near to a core and not connected with it meets the core's members
+        near, core = both(nears).distinct(), both(cores).distinct()
+        part = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"part_{x}"))
+        loose = near.join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(part_a, a) != coalesce(part_b, b)")
+        us = cut(loose.select(F.col("b").alias("group"), F.col("a").alias("rep")), "loose")
+        ws = core.select(F.col("b").alias("group"), F.col("a").alias("rep"))
+        ws = ws.union(ws.select("group", F.col("group").alias("rep")).distinct()).join(us.select("group").distinct(), "group", "left_semi")
+        met = cut(_met(us, ws, labels, reps, percent), "met")
+        if not met.isEmpty():
+            labels = merged(labels, _verified(texts, met, k, percent))
+    if last is not None:
+        met = cut(_met(last, last, labels, reps, percent), "met")
         if not met.isEmpty():
-            edges = edges.union(_verified(texts, met, k, percent))
-            labels = components(edges)
-    classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.col("rep").alias("set_id"), F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("set_id", "doc_id").alias("set_id"))
+            labels = merged(labels, _verified(texts, met, k, percent))
+    classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.col("rep").alias("set_id"), F.coalesce("component", "rep").alias("component_id"))
+    out = linked.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "component_id", "set_id")
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("set_id"))
+    out = out.union(alone)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "set_id")
 
 
 def op1_near_dup(spark, sf_dir: str) -> DataFrame:

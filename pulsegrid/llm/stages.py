@@ -12,10 +12,12 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); where it is unset a temporary one, if all of Spark runs on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
@@ -30,7 +32,20 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: it survives lost executors and is computed once."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def free(*frames: DataFrame) -> None:
+    """Removes tables that ``cut`` wrote, once all that is made of them is a table itself."""
+    for df in frames:
+        path = getattr(df, "_written_at", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            df._written_at = None
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -67,3 +82,14 @@ def components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return edges.select(F.col("a").cast("long").alias("id"), F.col("a").cast("long").alias("component")).where("false")
     return labels
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after the further ``edges`` (a, b)."""
+    if edges.isEmpty():
+        return labels
+    to = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"root_{x}"))
+    roots = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    up = components(roots)
+    known = labels.join(up.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return cut(known.union(up.join(labels.select("id"), "id", "left_anti")), "labels")

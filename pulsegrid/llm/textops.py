@@ -7,6 +7,7 @@ memory a task needs does not depend on how many rows a batch or partition has
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,19 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return z ^ (z >> U64(31))
 
 
+def released(run):
+    """``run`` over Arrow batches; what it held goes back to the system at its end, as workers live on between tasks."""
+
+    def again(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return again
+
+
 _BYTE = mix(np.arange(256, dtype=U64), 11)
 _BYTE_LOWER = _BYTE[_LOWER]
 _P = 0x5851F42D4C957F2D | 1

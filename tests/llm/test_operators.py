@@ -101,11 +101,46 @@ def test_near_duplicates_of_a_large_star(spark):
     assert [r["doc_id"] for r in got if r["component_id"] != 0] == []
 
 
+def test_near_duplicates_near_the_threshold_in_large_families(spark):
+    """Families too large for a leaf, with cores, members near them and strangers that share a passage: components equal brute force."""
+    rnd = random.Random(23)
+    passage, rows = [f"p{i}" for i in range(30)], []
+    for family in range(3):
+        base = [f"f{family}x{i}" for i in range(150)]
+        for _ in range(260):
+            words = list(base)
+            for at in rnd.sample(range(150), rnd.choice((0, 1, 1, 2, 3, 4, 5, 6))):
+                words[at] = f"m{rnd.random()}"
+            rows.append((len(rows), " ".join(words), "en", "a"))
+    for _ in range(300):
+        rows.append((len(rows), " ".join(passage + [f"s{rnd.random()}" for _ in range(rnd.randint(5, 60))]), "en", "b"))
+    rnd.shuffle(rows)
+    sets, root = [(i, shingles(t)) for i, t, _, _ in rows], {i: i for i, _, _, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    close = 0
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if 100 * len(a & b) >= 75 * len(a | b):
+            close += 100 * len(a & b) < 80 * len(a | b)
+            i, j = sorted((find(i), find(j)))
+            root[j] = i
+    assert close > 1000
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: find(i) for i in root}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(5000, 5000)]
     random.Random(1).shuffle(edges)
     got = {r["id"]: r["component"] for r in stages.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(100)}
+    known = stages.components(spark.createDataFrame([(3, 4), (7, 9)], "a long, b long"))
+    more = stages.merged(known, spark.createDataFrame([(4, 9), (20, 11), (11, 11)], "a long, b long"))
+    assert {(r["id"], r["component"]) for r in more.collect()} == {(3, 3), (4, 3), (7, 3), (9, 3), (11, 11), (20, 11)}
 
 
 def test_forward_backward_is_exact():
