@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import activity as A
 from pulsegrid.sources import tables as T
-from pulsegrid.sources.tables import PRELUDE, months, read, record_orgs, record_topics, records
+from pulsegrid.sources.tables import PRELUDE, read, record_orgs, record_topics, records
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,9 +65,13 @@ CUBE = """, cube AS (
 """
 
 
+def cube(spark, sf):
+    return A.monthly_cube(records(spark, sf), A.record_links(T.record_lines(spark, sf)))
+
+
 @query(CUBE + "SELECT month, record_type, org_id, topic, records, round(weighted, 6) AS weighted FROM cube")
 def agg_activity_cube(spark, sf):
-    return A.monthly_cube(records(spark, sf), record_orgs(spark, sf), record_topics(spark, sf)).withColumn("weighted", F.round("weighted", 6))
+    return cube(spark, sf).withColumn("weighted", F.round("weighted", 6))
 
 
 @query(
@@ -78,7 +82,7 @@ def agg_activity_cube(spark, sf):
 SELECT record_type, org_id, topic, period_type, period, CAST(sum(records) AS BIGINT) AS records, round(sum(weighted), 6) AS weighted FROM long GROUP BY ALL"""
 )
 def agg_rollup_periods(spark, sf):
-    return A.roll_up(A.monthly_cube(records(spark, sf), record_orgs(spark, sf), record_topics(spark, sf))).withColumn("weighted", F.round("weighted", 6))
+    return A.roll_up(cube(spark, sf)).withColumn("weighted", F.round("weighted", 6))
 
 
 @query("SELECT count(DISTINCT id) AS n FROM records")
@@ -87,13 +91,10 @@ def agg_count_records(spark, sf):
 
 
 def topic_source(spark, sf, n: int = 80):
-    """(topic, record_type, month, ago, n, w), dense."""
-    r, t = records(spark, sf), record_topics(spark, sf)
-    counts = A.by_topic(r, t).withColumnsRenamed({"records": "n", "weighted": "w"})
-    kinds = spark.createDataFrame([(k,) for k in T.RECORD_TYPES], "record_type string")
-    entities = t.select("topic").distinct().crossJoin(F.broadcast(kinds))
-    d = A.dense(counts, entities, months(spark, n), ["topic", "record_type"], ["n", "w"])
-    return d.withColumn("ago", F.lit(n - 1) - F.col("idx")).drop("idx")
+    """(topic, record_type, month, ago, n, w), dense, of one scan of the links."""
+    r, t = records(spark, sf).select("id", "record_type", "month"), record_topics(spark, sf)
+    counts = t.join(r, r["id"] == t["record_id"], "left").groupBy("month", "record_type", "topic").agg(F.count_distinct("id").alias("n"), F.sum("confidence").alias("w"))
+    return A.dense(counts, ["topic"], "record_type", T.RECORD_TYPES, T.month_list(n), ["n", "w"])
 
 
 def topic_series(spark, sf, n: int = 80):
@@ -120,10 +121,12 @@ def composite(spark, sf, n: int = 14):
     weight = F.lit(None).cast("double")
     for k, v in WEIGHTS.items():
         weight = F.when(F.col("record_type") == k, v).otherwise(weight)
-    live = s.groupBy("topic", "record_type").agg(F.sum("n").alias("total")).where("total > 0").select("topic", "record_type", weight.alias("weight"))
-    total = live.groupBy("topic").agg(F.sum("weight").alias("all"))
-    shares = live.join(total, "topic").select("topic", "record_type", (F.col("weight") / F.col("all")).alias("share"))
-    return s.join(shares, ["topic", "record_type"]).groupBy("topic", "month", "ago").agg(F.sum(F.col("w") * F.col("share")).alias("v"))
+    # totals of a topic's sources and of its weights are windows over its own few rows
+    from pyspark.sql import Window as W
+
+    s = s.withColumn("live", F.when(F.sum("n").over(W.partitionBy("topic", "record_type")) > 0, weight))
+    s = s.withColumn("all", F.sum("live").over(W.partitionBy("topic", "month")))
+    return s.where("live is not null").groupBy("topic", "month", "ago").agg(F.sum(F.col("w") * F.col("live") / F.col("all")).alias("v"))
 
 
 COMPOSITE = f""", live AS (SELECT topic, record_type, {_CASE} AS weight FROM topic_source WHERE ago < 14 GROUP BY ALL HAVING sum(n) > 0),
@@ -232,10 +235,15 @@ def agg_date_bounds(spark, sf):
 
 @query("SELECT record_type, round(median(amount), 6) AS med, round(stddev_pop(amount), 4) AS dev, round(quantile_cont(amount, 0.05), 6) AS q05, round(quantile_cont(amount, 0.95), 6) AS q95, round(mad(amount), 6) AS mad FROM records GROUP BY ALL")
 def agg_distribution(spark, sf):
+    """Exact quantiles by rank: values are counted by bucket first, so a task ranks the rows of the few buckets that hold a quantile only."""
+    from pulsegrid.operators.quantiles import quantiles
+
     r = records(spark, sf).select("record_type", "amount")
-    a = r.groupBy("record_type").agg(F.median("amount").alias("med"), F.stddev_pop("amount").alias("dev"), F.percentile("amount", F.lit(0.05)).alias("q05"), F.percentile("amount", F.lit(0.95)).alias("q95"))
-    away = r.join(a.select("record_type", "med"), "record_type").groupBy("record_type").agg(F.median(F.abs(F.col("amount") - F.col("med"))).alias("mad"))
-    return a.join(away, "record_type").select("record_type", r6("med"), F.round("dev", 4).alias("dev"), r6("q05"), r6("q95"), r6("mad"))
+    q = quantiles(r, "record_type", "amount", {"q05": 0.05, "med": 0.5, "q95": 0.95})
+    dev = r.groupBy("record_type").agg(F.round(F.stddev_pop("amount"), 4).alias("dev"))
+    away = r.join(F.broadcast(q.select("record_type", "med")), "record_type").select("record_type", F.abs(F.col("amount") - F.col("med")).alias("away"))
+    mad = quantiles(away, "record_type", "away", {"mad": 0.5})
+    return q.join(dev, "record_type").join(mad, "record_type").select("record_type", r6("med"), "dev", r6("q05"), r6("q95"), r6("mad"))
 
 
 @query("SELECT event_type AS source, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at, arg_max(event_id, (ts, event_id)) AS last_run FROM events GROUP BY ALL", prelude=False)

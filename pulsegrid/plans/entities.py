@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import text as X
 from pulsegrid.operators import cohort as C
 from pulsegrid.plans.activity import r6
-from pulsegrid.plans.scalars import ORG as ORG_SQL
-from pulsegrid.plans.scalars import RAW_ORG, TITLE, _raw_org
+from pulsegrid.plans.scalars import PAPERS, papers
 from pulsegrid.plans.series import FEATURES, topic_features
 from pulsegrid.sources.tables import PRELUDE, read, record_orgs, record_topics, records
 
@@ -27,39 +26,33 @@ def query(sql: str, prelude: bool = False):
     return add
 
 
-# duplicates: the lowest id of each key is canonical
+# duplicates: the lowest id of each key is canonical, within a record type
 
-DEDUPE = f"WITH t AS (SELECT doc_id, source, CASE WHEN len(string_split({TITLE}, ' ')) >= 4 THEN {TITLE} END AS title FROM documents)"
 
+def _canonical(spark, sf):
+    """id, source, record_type, position, kind, canonical, c_source of every key that an earlier record has; one aggregate by key, so a common key is no hot window."""
+    k = papers(spark, sf).select("id", "source", "record_type", F.posexplode(X.duplicate_keys(F.col("doi"), F.col("pmid"), F.col("year"), F.col("title"))).alias("position", "k")).select("id", "source", "record_type", "k.kind", "k.key")
+    first = k.groupBy("record_type", "kind", "key").agg(F.min(F.struct("id", "source")).alias("c")).select("record_type", "kind", "key", F.col("c.id").alias("canonical"), F.col("c.source").alias("c_source"))
+    return k.join(first, ["record_type", "kind", "key"]).where("id <> canonical")
 
-@query(DEDUPE + " SELECT doc_id, min(doc_id) OVER (PARTITION BY title) AS canonical FROM t WHERE title IS NOT NULL QUALIFY count(*) OVER (PARTITION BY title) > 1 AND doc_id <> min(doc_id) OVER (PARTITION BY title)")
-def dedupe_find(spark, sf):
-    """Later records with the key of an earlier one. The canonical ids come from one aggregate, so a common key is no hot window."""
-    t = read(spark, sf, "documents").select("doc_id", X.normalize_title(F.substring("text", 1, 120)).alias("title")).where("title is not null")
-    first = t.groupBy("title").agg(F.min("doc_id").alias("canonical"), F.count("*").alias("n")).where("n > 1").select("title", "canonical")
-    return t.join(first, "title").where("doc_id <> canonical").select("doc_id", "canonical")
 
+CANONICAL = f"""WITH {PAPERS}, c AS (SELECT *, min(id) OVER (PARTITION BY record_type, kind, key) AS canonical, arg_min(source, id) OVER (PARTITION BY record_type, kind, key) AS c_source FROM keys),
+found AS (SELECT id, kind, position, canonical FROM c WHERE id <> canonical AND (kind <> 'title' OR source <> c_source))
+"""
+ORDER = {"doi": 0, "pmid": 1, "title": 2}
 
-@query(
-    DEDUPE
-    + """, k AS (SELECT doc_id, source, title, min(doc_id) OVER (PARTITION BY title) AS canonical FROM t WHERE title IS NOT NULL)
-SELECT k.doc_id, k.canonical, 'title' AS reason FROM k JOIN documents c ON c.doc_id = k.canonical WHERE k.doc_id <> k.canonical AND k.source <> c.source"""
-)
-def dedupe_across_sources(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", "source")
-    found = dedupe_find(spark, sf)
-    canonical = d.select(F.col("doc_id").alias("canonical"), F.col("source").alias("c_source"))
-    return found.join(d, "doc_id").join(canonical, "canonical").where("source <> c_source").select("doc_id", "canonical", F.lit("title").alias("reason"))
 
+@query(CANONICAL + "SELECT id, arg_min(canonical, position) AS canonical, arg_min(kind, position) AS reason FROM found GROUP BY id")
+def dedupe_find(spark, sf):
+    """Records with an identifier of an earlier one of their type, the first that tells: doi, pmid, or year and title across sources."""
+    found = _canonical(spark, sf).where("kind <> 'title' or source <> c_source")
+    at = F.element_at(F.create_map(*[F.lit(x) for pair in ORDER.items() for x in pair]), F.col("kind"))
+    return found.groupBy("id").agg(F.min_by(F.struct("canonical", "kind"), at).alias("m")).select("id", "m.canonical", F.col("m.kind").alias("reason"))
 
-@query(
-    """WITH k AS (SELECT doc_id, unnest(list_distinct([{'kind': 'lang', 'key': lang || ':' || n_chars}, {'kind': 'source', 'key': source || ':' || n_chars}])) AS x FROM documents)
-SELECT doc_id, x.kind AS kind, x.key AS key FROM k"""
-)
-def fn_duplicate_keys(spark, sf):
-    d = read(spark, sf, "documents")
-    key = lambda kind: F.struct(F.lit(kind).alias("kind"), F.concat_ws(":", F.col(kind), F.col("n_chars").cast("string")).alias("key"))
-    return d.select("doc_id", F.explode(F.array_distinct(F.array(key("lang"), key("source")))).alias("x")).select("doc_id", "x.kind", "x.key")
+
+@query(CANONICAL + "SELECT id, canonical FROM found WHERE kind = 'title'")
+def dedupe_across_sources(spark, sf):
+    return _canonical(spark, sf).where("kind = 'title' and source <> c_source").select("id", "canonical")
 
 
 # topics by terms: whole words, plural allowed
@@ -107,23 +100,6 @@ def er_link_confidence(spark, sf):
     return record_orgs(spark, sf).select("record_id", "org_id", "relationship", r6(F.col("confidence") * weight, "confidence"))
 
 
-@query(f"SELECT name, count(*) AS aliases, min(raw) AS first_alias, min(s_suppkey) AS id FROM (SELECT s_suppkey, raw, {ORG_SQL} AS name FROM (SELECT s_suppkey, {RAW_ORG} AS raw FROM supplier)) GROUP BY ALL")
-def er_alias_counts(spark, sf):
-    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), _raw_org().alias("raw")).withColumn("name", X.normalize_org(F.col("raw")))
-    return s.groupBy("name").agg(F.count("*").alias("aliases"), F.min("raw").alias("first_alias"), F.min("id").alias("id"))
-
-
-@query(
-    """WITH k AS (SELECT s_suppkey AS id, lower(s_name) AS name, string_split(lower(s_name), '#')[1] AS lead FROM supplier)
-SELECT a.id, min(b.id) AS parent FROM k a JOIN k b ON a.lead = b.lead AND b.id < a.id GROUP BY ALL"""
-)
-def er_suggest_parent(spark, sf):
-    """The lowest id with the same leading word: a minimum by key instead of a self-join of all pairs."""
-    k = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.get(F.split(F.lower("s_name"), "#"), F.lit(0)).alias("lead"))
-    first = k.groupBy("lead").agg(F.min("id").alias("parent"))
-    return k.join(first, "lead").where("parent < id").select("id", "parent")
-
-
 # area threat and modifiers
 
 

@@ -42,17 +42,34 @@ def fn_month_range(spark, sf):
     return lo.select(F.explode(F.expr("sequence(lo, date'2001-07-01', interval 1 month)")).alias("month"))
 
 
-@query(
-    """SELECT id, raw, CASE id % 6 WHEN 0 THEN d WHEN 1 THEN d WHEN 2 THEN CAST(date_trunc('year', d) AS DATE) WHEN 3 THEN CAST(date_trunc('month', d) AS DATE) WHEN 4 THEN d ELSE d END AS day FROM (
-  SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 2 THEN strftime(o_orderdate, '%Y')
-    WHEN 3 THEN strftime(o_orderdate, '%Y %b') WHEN 4 THEN strftime(o_orderdate, '%d %B %Y') ELSE strftime(o_orderdate, '%B %d, %Y') END AS raw FROM orders)"""
-)
-def fn_normalize_date(spark, sf):
+#: Ways to write an order's date: the format in either engine, and what can be read back of it.
+SHAPES = (
+    ("yyyy-MM-dd", "%Y-%m-%d", "day"), ("yyyy/MM/dd", "%Y/%m/%d", "day"), ("yyyy", "%Y", "year"), ("yyyy MMM", "%Y %b", "month"), ("dd MMMM yyyy", "%d %B %Y", "day"), ("MMMM dd, yyyy", "%B %d, %Y", "day"),
+    ("MMMM yyyy", "%B %Y", "month"), ("yyyy.MM", "%Y.%m", "month"), ("yyyy MMM'-Dec'", "%Y %b-Dec", "month"), ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ", "day"), ("yyyy-MM-'31'", "%Y-%m-31", "end"), ("yyyy 'Winter'", "%Y Winter", "winter"),
+    ("'Sept' yyyy", "Sept %Y", "september"), ("yyyy 'nonsense'", "%Y nonsense", "year"), ("'nonsense' yyyy", "nonsense %Y", "none"), ("yyyy-'13'-dd", "%Y-13-%d", "none"), ("yyyy MMM dd", "%Y %b %d", "day"), ("'0'yyyy", "0%Y", "none"), ("yyyy-MM-dd'T23:30:00-05:00'", "%Y-%m-%dT23:30:00-05:00", "next"),
+)
+READ_BACK = {"day": "CAST(d AS DATE)", "year": "CAST(date_trunc('year', d) AS DATE)", "month": "CAST(date_trunc('month', d) AS DATE)", "end": "last_day(d)", "winter": "make_date(year(d), 12, 1)", "september": "make_date(year(d), 9, 1)", "none": "NULL", "next": "CAST(d + INTERVAL 1 DAY AS DATE)"}
+
+
+def dated():
     f = lambda p: F.date_format("o_orderdate", p)
-    kind = F.col("o_orderkey") % 6
-    raw = F.when(kind == 0, f("yyyy-MM-dd")).when(kind == 1, f("yyyy/MM/dd")).when(kind == 2, f("yyyy")).when(kind == 3, f("yyyy MMM")).when(kind == 4, f("dd MMMM yyyy")).otherwise(f("MMMM dd, yyyy"))
-    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw"))
-    return o.select("id", "raw", X.normalize_date(F.col("raw")).alias("day"))
+    raw = F.lit(None).cast("string")
+    for n, (p, _, _) in enumerate(SHAPES):
+        raw = F.when(F.col("o_orderkey") % len(SHAPES) == n, f(p)).otherwise(raw)
+    return raw
+
+
+DATED = f"SELECT o_orderkey AS id, d, CASE o_orderkey % {len(SHAPES)} " + " ".join(f"WHEN {n} THEN strftime(o_orderdate, '{p}')" for n, (_, p, _) in enumerate(SHAPES)) + f" END AS raw, CASE o_orderkey % {len(SHAPES)} " + " ".join(f"WHEN {n} THEN {READ_BACK[k]}" for n, (_, _, k) in enumerate(SHAPES)) + " END AS day FROM (SELECT *, o_orderdate AS d FROM orders)"
+
+
+@query(f"SELECT id, raw, day FROM ({DATED})")
+def fn_normalize_date(spark, sf):
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), dated().alias("raw")).select("id", "raw", X.normalize_date(F.col("raw")).alias("day"))
+
+
+@query(f"SELECT id, CASE WHEN id % {len(SHAPES)} = 9 THEN d WHEN id % {len(SHAPES)} = {len(SHAPES) - 1} THEN CAST(CAST(d AS DATE) AS TIMESTAMP) + INTERVAL 28 HOUR + INTERVAL 30 MINUTE ELSE CAST(day AS TIMESTAMP) END AS at FROM ({DATED})")
+def fn_to_utc_datetime(spark, sf):
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), dated().alias("raw")).select("id", X.to_utc(F.col("raw")).alias("at"))
 
 
 @query(
@@ -65,13 +82,13 @@ def fn_normalize_doi(spark, sf):
     return read(spark, sf, "part").select(k.alias("id"), X.normalize_doi(raw).alias("doi"))
 
 
-TITLE = "trim(regexp_replace(regexp_replace(lower(substr(text, 1, 120)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+TITLE = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
 @query(f"SELECT doc_id, CASE WHEN len(string_split({TITLE}, ' ')) >= 4 THEN {TITLE} END AS title FROM documents")
 def fn_normalize_title(spark, sf):
-    """A title is the first 120 characters of a text here."""
-    return read(spark, sf, "documents").select("doc_id", X.normalize_title(F.substring("text", 1, 120)).alias("title"))
+    """The whole text stands for a title here."""
+    return read(spark, sf, "documents").select("doc_id", X.normalize_title(F.col("text")).alias("title"))
 
 
 @query("SELECT page_id, coalesce(regexp_matches(url, '^https?://[^/\\s?#]+') AND length(url) <= 1024 AND NOT regexp_matches(url, '\\s'), false) AS valid FROM pages")
@@ -98,37 +115,16 @@ def fn_clean_external_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.clip(t, 240).alias("text"))
 
 
-RULES = [("acquisition", ("blee", "merger")), ("funding", ("thee", "grant")), ("approval", ("ered", "approved")), ("trial", ("stion", "phase"))]
+#: Phrases put behind each text, by its id; the last few fit no rule.
+PHRASES = tuple(p for _, ps in X.ANNOUNCEMENTS for p in ps) + ("opens an office", "seriously b", "Ships A Product")
+PHRASE = "([" + ", ".join(f"'{p}'" for p in PHRASES) + f"])[1 + doc_id % {len(PHRASES)}]"
 
 
-@query("SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{p}')" for p in ps) + f" THEN '{n}'" for n, ps in RULES) + " ELSE 'other' END AS kind FROM documents")
+@query(f"SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(low, '{p}')" for p in ps) + f" THEN '{n}'" for n, ps in X.ANNOUNCEMENTS) + f" ELSE 'other' END AS kind, 0.6 AS confidence FROM (SELECT doc_id, lower(coalesce(text, '') || ' To Co-' || upper({PHRASE})) AS low FROM documents)".replace("0.6 AS", "CAST(0.6 AS DOUBLE) AS"))
 def fn_keyword_class(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", X.first_rule(F.col("text"), RULES, "other").alias("kind"))
-
-
-ORG = "translate(lower(raw), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy')"
-ORG = f"trim(regexp_replace(regexp_replace(replace({ORG}, '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
-ORG = f"regexp_replace(regexp_replace(regexp_replace({ORG}, '(?: (?:{'|'.join(X.LEGAL)}))+$', ''), ' and$', ''), '^the ', '')"
-for _s, _w in X.SHORT.items():
-    ORG = f"regexp_replace({ORG}, '\\b{_s}\\b', '{_w}', 'g')"
-RAW_ORG = "CASE s_suppkey % 4 WHEN 0 THEN 'The ' || s_name || ' Pharma & Co., Ltd.' WHEN 1 THEN upper(s_name) || ' GmbH' WHEN 2 THEN 'Univ. Köln ' || s_name ELSE s_name || ' Labs Inc' END"
-
-
-def _raw_org():
-    n = F.col("s_name")
-    k = F.col("s_suppkey") % 4
-    return F.when(k == 0, F.concat(F.lit("The "), n, F.lit(" Pharma & Co., Ltd."))).when(k == 1, F.concat(F.upper(n), F.lit(" GmbH"))).when(k == 2, F.concat(F.lit("Univ. Köln "), n)).otherwise(F.concat(n, F.lit(" Labs Inc")))
-
-
-@query(f"SELECT s_suppkey AS id, {ORG} AS name FROM (SELECT s_suppkey, {RAW_ORG} AS raw FROM supplier)")
-def fn_normalize_org(spark, sf):
-    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), X.normalize_org(_raw_org()).alias("name"))
-
-
-@query(f"SELECT s_suppkey AS id, list_aggregate(list_sort(list_filter(string_split({ORG}, ' '), lambda w: w <> '')), 'string_agg', ' ') AS words, replace({ORG}, ' ', '') AS compact FROM (SELECT s_suppkey, {RAW_ORG} AS raw FROM supplier)")
-def fn_sorted_words(spark, sf):
-    n = X.normalize_org(_raw_org())
-    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), X.sorted_words(n).alias("words"), F.replace(n, F.lit(" "), F.lit("")).alias("compact"))
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (1 + F.col("doc_id") % len(PHRASES)).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" To Co-"), F.upper(phrase))
+    return read(spark, sf, "documents").select("doc_id", X.first_rule(text, X.ANNOUNCEMENTS, "other").alias("kind"), F.lit(0.6).alias("confidence"))
 
 
 @query("SELECT o_orderpriority AS kind, round(1 - exp(-count(*) / 25.0), 6) AS confidence FROM orders GROUP BY ALL")
@@ -172,22 +168,79 @@ def fn_json_components(spark, sf):
     return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT event_type, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) GROUP BY ALL")
+@query(
+    """WITH j AS (SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, event_type FROM events)
+SELECT event_id, path, CAST(value AS VARCHAR) AS value FROM (SELECT event_id, 'k' AS path, k::VARCHAR AS value FROM j UNION ALL SELECT event_id, 'run.kind', event_type FROM j UNION ALL SELECT event_id, 'run.parts', k || ', ' || (k + 1) FROM j UNION ALL SELECT event_id, 'run.deep.half', (k // 2)::VARCHAR FROM j)"""
+)
 def fn_flatten_metrics(spark, sf):
-    e = read(spark, sf, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("key"))
-    return e.groupBy("event_type", "key").agg(F.count("*").alias("n"))
+    """Nested metrics as (dotted path, scalar); lists of scalars are joined. Depth 6 at most."""
+    from pulsegrid.operators.nested import flatten
+
+    k = F.get_json_object("props", "$.k").cast("long")
+    nested = F.to_json(F.struct(k.alias("k"), F.struct(F.col("event_type").alias("kind"), F.array(k, k + 1).alias("parts"), F.struct(F.floor(k / 2).alias("half")).alias("deep")).alias("run")))
+    return flatten(read(spark, sf, "events").select("event_id", nested.alias("metrics")), "metrics")
+
 
+LETTERS = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
-@query("SELECT s_suppkey AS id, list_filter(['1', '2', '7'], lambda x: contains(s_name, x)) AS kept FROM supplier")
+
+@query(f"SELECT page_id, list_filter(names, lambda n: {LETTERS('n')} <> '' AND contains(hay, {LETTERS('n')})) AS kept, list_filter(names, lambda n: {LETTERS('n')} = '' OR NOT contains(hay, {LETTERS('n')})) AS dropped FROM (SELECT page_id, [upper(string_split(url, '/')[3]), '!!', 'Zentavia, Inc.', 'The <p>'] AS names, {LETTERS('html')} AS hay FROM pages)")
 def fn_ground_names(spark, sf):
-    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.filter(F.array(F.lit("1"), F.lit("2"), F.lit("7")), lambda x: F.contains(F.col("s_name"), x)).alias("kept"))
+    """Names that a page is said to hold (its host, nothing, an unknown one, one in other marks): those its text has, and the rest."""
+    names = F.array(F.upper(F.get(F.split("url", "/"), F.lit(2))), F.lit("!!"), F.lit("Zentavia, Inc."), F.lit("The <p>"))
+    p = read(spark, sf, "pages").select("page_id", names.alias("names"), X.grounded(names, F.col("html")).alias("kept"))
+    return p.select("page_id", "kept", F.filter("names", lambda n: ~F.array_contains("kept", n)).alias("dropped"))
+
+
+# records with identifiers, from parts
+
+
+def papers(spark, sf):
+    k = F.col("p_partkey")
+    return read(spark, sf, "part").select(
+        k.alias("id"), F.when(k % 5 == 0, F.concat(F.lit("https://doi.org/10."), k % 40, F.lit("/AbC."))).when(k % 5 == 1, F.concat(F.lit("10."), k % 40, F.lit("/abc"))).alias("doi"),
+        F.when(k % 7 == 0, F.concat(F.lit(" "), k % 60)).when(k % 7 == 1, F.lit(" ")).alias("pmid"), (2000 + F.floor(k / 3) % 2).cast("int").alias("year"), F.concat("p_name", F.lit(" of the "), F.lower("p_type"), F.lit("!")).alias("title"),
+        F.element_at(F.array(F.lit("trials"), F.lit("articles"), F.lit("feed")), (1 + k % 3).cast("int")).alias("source"), F.element_at(F.array(F.lit("publication"), F.lit("patent")), (1 + k % 2).cast("int")).alias("record_type"),
+    )
+
+
+PAPERS = """papers AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'https://doi.org/10.' || (p_partkey % 40) || '/AbC.' WHEN 1 THEN '10.' || (p_partkey % 40) || '/abc' END AS doi,
+  CASE p_partkey % 7 WHEN 0 THEN ' ' || (p_partkey % 60) WHEN 1 THEN ' ' END AS pmid, 2000 + (p_partkey // 3) % 2 AS year, p_name || ' of the ' || lower(p_type) || '!' AS title,
+  (['trials', 'articles', 'feed'])[1 + p_partkey % 3] AS source, (['publication', 'patent'])[1 + p_partkey % 2] AS record_type FROM part),
+norm AS (SELECT *, regexp_replace(regexp_replace(lower(doi), '^https?://doi.org/', ''), '[.]+$', '') AS d, nullif(trim(pmid), '') AS p, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM papers),
+keys AS (SELECT id, source, record_type, 0 AS position, 'doi' AS kind, d AS key FROM norm WHERE d IS NOT NULL UNION ALL SELECT id, source, record_type, 1, 'pmid', p FROM norm WHERE p IS NOT NULL
+  UNION ALL SELECT id, source, record_type, 2, 'title', year || ':' || t FROM norm WHERE len(string_split(t, ' ')) >= 4)"""
+
+
+@query(f"WITH {PAPERS} SELECT id, kind, key FROM keys")
+def fn_duplicate_keys(spark, sf):
+    p = papers(spark, sf)
+    return p.select("id", F.explode(X.duplicate_keys(F.col("doi"), F.col("pmid"), F.col("year"), F.col("title"))).alias("k")).select("id", "k.kind", "k.key")
+
+
+@query("SELECT event_id, regexp_replace(regexp_replace(line, '(api_key=)[^ ]+', '\\1***'), '(Bearer )[^ ]+', '\\1***') AS line FROM (SELECT event_id, 'user ' || user_id || ' api_key=k' || event_id || ' sent Bearer t' || user_id || ' ' || props AS line FROM events)")
+def fn_redact(spark, sf):
+    line = F.concat(F.lit("user "), "user_id", F.lit(" api_key=k"), "event_id", F.lit(" sent Bearer t"), "user_id", F.lit(" "), "props")
+    return read(spark, sf, "events").select("event_id", X.redacted(line).alias("line"))
+
+
+@query("SELECT DISTINCT p_type, lower(trim(p_type)) AS key FROM part")
+def fn_name_key(spark, sf):
+    return read(spark, sf, "part").select("p_type", X.name_key(F.concat(F.lit(" - "), "p_type", F.lit("!"))).alias("key")).distinct()
+
+
+@query("SELECT p_partkey AS id, [p_brand, p_type, p_name] AS items FROM part")
+def fn_parse_list(spark, sf):
+    text = F.concat(F.lit(" "), "p_brand", F.lit(", ;"), "p_type", F.lit("\n"), "p_name", F.lit(","))
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.listed(text).alias("items"))
+
 
+@query("SELECT page_id, sha256('feed' || chr(31) || url || chr(31) || " + CLEAN + ") AS content_hash FROM pages")
+def fn_record_hash(spark, sf):
+    """The same for any white space and time of fetching; another for any other change of the kept fields."""
+    from pulsegrid.sources.feeds import content_hash
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'notice' WHEN regexp_matches(text, '@[a-z0-9]+\\.') THEN 'contact' WHEN n_chars < 60 THEN 'short' ELSE 'text' END AS kind FROM documents")
-def fn_classify_org(spark, sf):
-    """Ordered rules: the first that holds names the kind."""
-    t = F.col("text")
-    return read(spark, sf, "documents").select("doc_id", F.when(F.lower(t).contains("license"), "notice").when(t.rlike(r"@[a-z0-9]+\."), "contact").when(F.col("n_chars") < 60, "short").otherwise("text").alias("kind"))
+    return read(spark, sf, "pages").select("page_id", content_hash(F.lit("feed"), F.concat(F.lit(" "), "url"), X.clean_text(F.col("html"))).alias("content_hash"))
 
 
 @query("SELECT min(vec_id) AS first_id, label, count(*) AS n, round(avg(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS norm FROM embeddings GROUP BY ALL")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import cohort as C
 from pulsegrid.operators import series as S
 from pulsegrid.plans.activity import r6, topic_series, topic_source
-from pulsegrid.sources.tables import PRELUDE, months, record_orgs, records
+from pulsegrid.sources.tables import PRELUDE, RECORD_TYPES, months, record_orgs, records
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -261,25 +261,28 @@ conf AS (SELECT *, 100 * (0.35 * sample + 0.25 * agreement + 0.20 * completeness
 
 def topic_features(spark, sf):
     """One row for each topic: features, their cohort percentiles, trend and confidence."""
-    source = topic_source(spark, sf, 14)
-    s = source.groupBy("topic", "month", "ago").agg(F.sum("n").alias("v"))
-    by_source = S.growth(source, ["topic", "record_type"], value="n").select("topic", "record_type", "growth", "direction")
-    total = source.groupBy("topic", "record_type").agg(F.sum("n").alias("total"))
-    # one pivot-like aggregate instead of a query for each source
-    wide = by_source.join(total, ["topic", "record_type"]).groupBy("topic").agg(
-        F.max(F.when(F.col("record_type") == "patent", F.col("growth"))).alias("patent_growth"),
-        F.max(F.when(F.col("record_type") == "funding", F.col("growth"))).alias("funding_growth"),
-        F.count_if((F.col("direction") == "rising") & (F.col("total") > 0)).alias("supporting"),
-        F.count_if(F.col("total") > 0).alias("available"),
-        F.sum("total").alias("total"),
-    )
-    f = (
-        S.growth(s, ["topic"]).select("topic", F.col("growth").alias("momentum"))
-        .join(S.velocity(s, ["topic"]).select("topic", "velocity"), "topic")
-        .join(S.consistency(s, ["topic"]).select("topic", "consistency", "largest_share", "single_spike"), "topic")
-        .join(wide, "topic")
-        .withColumn("c", F.lit(1))
+    # one row for each topic and month, then one for each topic: the links are read once
+    of = lambda k: F.sum(F.when(F.col("record_type") == k, F.col("n")))
+    m = topic_source(spark, sf, 14).groupBy("topic", "month", "ago").agg(F.sum("n").alias("v"), *[of(k).alias(k) for k in RECORD_TYPES])
+    m = m.withColumn("step", F.col("v") - F.lag("v").over(W.partitionBy("topic").orderBy(F.col("ago").desc())))
+    change = lambda c: S.log_ratio(S.sum_between("ago", c, 0, 2), S.sum_between("ago", c, 3, 5))
+    last = F.col("ago") < 12
+    f = m.groupBy("topic").agg(
+        F.sum("v").alias("total"),
+        change("v").alias("momentum"),
+        F.regr_slope(F.when(last, F.log1p("v")), F.when(last, -F.col("ago").cast("double"))).alias("velocity"),
+        F.avg(F.when(F.col("step").isNotNull(), F.when(F.col("step") > 0, 1.0).otherwise(0.0))).alias("consistency"),
+        (F.max("v") / F.nullif(F.sum("v"), F.lit(0.0))).alias("largest_share"),
+        *[change(k).alias(f"{k}_growth") for k in RECORD_TYPES],
+        *[F.sum(k).alias(f"{k}_total") for k in RECORD_TYPES],
     )
+    count = lambda test: sum((F.when(test(k), 1).otherwise(0) for k in RECORD_TYPES), F.lit(0))
+    f = f.withColumns({
+        "supporting": count(lambda k: (F.col(f"{k}_growth") > 0) & (F.col(f"{k}_total") > 0)).cast("long"),
+        "available": count(lambda k: F.col(f"{k}_total") > 0).cast("long"),
+        "single_spike": (F.coalesce("largest_share", F.lit(0.0)) >= 0.5) & (F.col("consistency") < 0.5),
+        "c": F.lit(1),
+    })
     names = ("velocity", "momentum", "patent_growth", "funding_growth", "consistency")
     f = f.select("*", *[C.percentile(F.col(n), ["c"]).alias(f"p_{n}") for n in names])
     trend = sum((F.lit(w) * F.col(f"p_{n}") for n, w in zip(names, (0.30, 0.25, 0.20, 0.15, 0.10), strict=True)), F.lit(0.0))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import activity, entities, forecasts, relational, scalars, series, streams
+from pulsegrid.plans import activity, entities, forecasts, relational, resolution, scalars, series, streams
 
-MODULES = [activity, series, relational, scalars, entities, forecasts, streams]
+MODULES = [activity, series, relational, scalars, entities, resolution, forecasts, streams]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -56,6 +56,22 @@ def record_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(F.col("l_orderkey").alias("record_id"), F.col("p_type").alias("topic"), F.col("l_linestatus").alias("method")).agg(F.max(1 - F.col("l_tax")).alias("confidence"))
 
 
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each line: record_id, org_id, relationship, c_org, topic, method, c_topic, of one scan."""
+    line, supplier, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "supplier"), read(spark, sf_dir, "part")
+    j = line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).join(part, line["l_partkey"] == part["p_partkey"])
+    return j.select(
+        F.col("l_orderkey").alias("record_id"), F.col("s_nationkey").alias("org_id"), F.col("l_returnflag").alias("relationship"), (1 - F.col("l_discount")).alias("c_org"),
+        F.col("p_type").alias("topic"), F.col("l_linestatus").alias("method"), (1 - F.col("l_tax")).alias("c_topic"),
+    )
+
+
+def month_list(n: int, last: dt.date = LAST_MONTH) -> list[dt.date]:
+    """The last ``n`` months, oldest first."""
+    at = last.year * 12 + last.month - 1
+    return [dt.date((at - i) // 12, (at - i) % 12 + 1, 1) for i in range(n - 1, -1, -1)]
+
+
 def months(spark: SparkSession, n: int, last: dt.date = LAST_MONTH) -> DataFrame:
     """The last ``n`` months, oldest first, with their index from 0."""
     spine = spark.range(n).select(F.add_months(F.lit(last), (F.col("id") - (n - 1)).cast("int")).alias("month"), F.col("id").cast("int").alias("idx"))
