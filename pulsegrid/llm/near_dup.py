@@ -5,10 +5,10 @@ representative first, so groups of copies cost one row each. Then independent
 trees split the representatives: a node holds those that chose the same minwise
 tokens on the way down. Below the first level every path has tokens of its own
 at every level, so paths agree independently; they are made for the
-representatives in large nodes only. Nodes of up to ``leaf`` members are compared
+representatives in large nodes only. Nodes of up to LEAF members are compared
 exhaustively.
 
-A large node is thinned before it branches. All its members meet its hub (the
+Large nodes of the first level are thinned before they branch. All its members meet its hub (the
 member nearest to its most usual tokens). Those linked with the hub, its core,
 are one component, so they leave the tree. As Jaccard distance is a metric, only
 members within twice the linking distance of the hub can be linked with the
@@ -40,14 +40,18 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.stages import components, cut, merged
 from pulsegrid.llm.textops import SLICE_BYTES, mix, released, shingle_sets, slices
 
-#: Minwise tokens kept per document, trees (each starts from its own token), levels, branches at each level below the first, and members of a node that is compared exhaustively.
-POOL, TREES, LEVELS, BRANCHES, LEAF = 32, 16, 6, (1, 2, 2, 2, 2), 48
+#: Minwise tokens kept per document, trees (each starts from its own token), levels, and branches at each level below the first.
+POOL, TREES, LEVELS, BRANCHES = 32, 16, 6, (1, 2, 2, 2, 2)
+#: Members of a node that is compared exhaustively, and least members of a core.
+LEAF, SMALL = 256, 48
+#: Hubs whose sketches are broadcast; more are shuffled.
+BROADCAST_HUBS = 10_000
 #: Members of a core, and of what is near to it, that meet as one block.
-BLOCK = 512
+BLOCK = 256
 #: Members whose tokens name a large node's most usual ones, by which its hub is chosen.
 VOTERS = 64
-#: Positions of the wide sketch, by one-permutation hashing of the set.
-WIDE = 256
+#: Positions of the wide sketch, by one-permutation hashing of the set, and of the fine one that is made for what meets in blocks only.
+WIDE, FINE = 256, 2048
 #: Sketch positions that must agree before full sets are compared: this many deviations below the mean at the similarity asked for.
 DEVIATIONS = 4.2
 #: Rows that are confirmed together.
@@ -71,11 +75,11 @@ def _binary(column, width: int, dtype) -> np.ndarray:
     return np.frombuffer(data, np.uint8, len(column) * width * np.dtype(dtype).itemsize, first).view(dtype).reshape(-1, width)
 
 
-def _wide_sketches(h: np.ndarray, so: np.ndarray) -> np.ndarray:
-    """A byte for each of WIDE ranges of the hash: of the smallest item in it, 0 if there is none. The items are sorted, so that is the first."""
-    wide = np.zeros((len(so) - 1, WIDE), np.uint8)
+def _wide_sketches(h: np.ndarray, so: np.ndarray, width: int = WIDE) -> np.ndarray:
+    """A byte for each of ``width`` ranges of the hash: of the smallest item in it, 0 if there is none. The items are sorted, so that is the first."""
+    wide = np.zeros((len(so) - 1, width), np.uint8)
     if len(h):
-        cell = np.repeat(np.arange(len(so) - 1) * WIDE, np.diff(so)) + (h >> np.uint64(64 - WIDE.bit_length() + 1)).astype(np.int64)
+        cell = np.repeat(np.arange(len(so) - 1) * width, np.diff(so)) + (h >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         wide.ravel()[cell[first]] = (mix(h[first], 77) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
     return wide
@@ -104,6 +108,15 @@ def _signatures(k: int):
     return released(run)
 
 
+def _fine_sketches(k: int):
+    def run(batches):
+        for batch in batches:
+            for i, j, data, offsets in slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], _fixed(_wide_sketches(*shingle_sets(data, offsets, k), FINE))], names=["rep", "fine"])
+
+    return released(run)
+
+
 def _paths(level: int) -> int:
     return TREES * math.prod(BRANCHES[: level - 1])
 
@@ -153,8 +166,6 @@ def _plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, p
     """Sizes allow the similarity, and the sketches' agreement does not speak against it."""
     ok = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
     p = percent / 100
-    if a.shape[1] != WIDE:
-        return ok & ((a == b).sum(1) >= p * POOL - DEVIATIONS * math.sqrt(p * (1 - p) * POOL) - 1)
     told, agree = ((a | b) != 0).sum(1), ((a == b) & (a != 0)).sum(1)
     # told of the union's items are seen, drawn without replacement
     unseen = np.clip(1 - told * (1 + p) / np.maximum(1, n_a + n_b), 0.02, 1)
@@ -162,7 +173,7 @@ def _plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, p
 
 
 def _leaf_pairs(percent: int):
-    """All plausible pairs of each small node."""
+    """All plausible pairs of each node, and how many positions of their sketches agree."""
 
     def run(batches):
         for batch in batches:
@@ -173,7 +184,7 @@ def _leaf_pairs(percent: int):
             size = np.diff(members.offsets.to_numpy())
             at = np.concatenate([[0], np.cumsum(size)])
             rep, n = (flat.field(x).to_numpy() for x in ("rep", "n"))
-            sketch = _binary(flat.field("sketch"), POOL, np.uint8)
+            sketch = _binary(flat.field("sketch"), WIDE, np.uint8)
             for m in np.unique(size):
                 first = at[:-1][size == m]
                 a, b = np.triu_indices(m, 1)
@@ -181,9 +192,10 @@ def _leaf_pairs(percent: int):
                 for x in range(0, len(first), step):
                     f = first[x : x + step]
                     left, right = (f[:, None] + a).ravel(), (f[:, None] + b).ravel()
-                    ok = _plausible(sketch[left], sketch[right], n[left], n[right], percent) & (rep[left] != rep[right])
-                    p, q = rep[left[ok]], rep[right[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                    x, y = sketch[left], sketch[right]
+                    ok = _plausible(x, y, n[left], n[right], percent) & (rep[left] != rep[right])
+                    p, q, agree = rep[left[ok]], rep[right[ok]], ((x[ok] == y[ok]) & (x[ok] != 0)).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"])
 
     return released(run)
 
@@ -217,10 +229,13 @@ def _block_pairs(percent: int):
                 us, ws = batch.column("us")[row].values, batch.column("ws")[row].values
                 (u, n_u, part_u), (w, n_w, part_w) = ([x.field(c).to_numpy() for c in ("rep", "n", "part")] for x in (us, ws))
                 x, y = _binary(us.field("sketch"), WIDE, np.uint8), _binary(ws.field("sketch"), WIDE, np.uint8)
+                fine_x, fine_y = _binary(us.field("fine"), FINE, np.uint8), _binary(ws.field("fine"), FINE, np.uint8)
                 i, j = np.nonzero((part_u[:, None] != part_w) & (100 * np.minimum(n_u[:, None], n_w) >= percent * np.maximum(n_u[:, None], n_w)))
                 for at in range(0, len(i), 8192):
                     p, q = i[at : at + 8192], j[at : at + 8192]
                     ok = _plausible(x[p], y[q], n_u[p], n_w[q], percent)
+                    p, q = p[ok], q[ok]
+                    ok = _plausible(fine_x[p], fine_y[q], n_u[p], n_w[q], percent)
                     a, b = u[p[ok]], w[q[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -275,7 +290,7 @@ def _confirm(k: int, percent: int):
 
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity, as a table; only the texts in pairs are shuffled."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     chosen = texts.join(wanted, "doc_id", "left_semi")
     side = lambda x: chosen.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
@@ -283,13 +298,20 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    """Nodes of more than one member, with their size. A table, so that a large node's rows may be dealt to several tasks."""
-    return cut(nodes.join(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node"), "sized")
+    """Nodes of more than one member, with their size. Sizes are a table of their own, so that a large node's rows may be dealt to several tasks."""
+    sizes = cut(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    return cut(nodes.join(sizes, "node"), "sized")
 
 
-def _leaves(sized: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    members = sized.where(F.col("size") <= LEAF).join(reps.select("rep", "n", "sketch"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members"))
-    return cut(members.select("members").mapInArrow(_leaf_pairs(percent), "a long, b long").distinct(), "leaves")
+def _leaf(sized: DataFrame) -> DataFrame:
+    return sized.where(F.col("size") <= LEAF).select("node", "rep")
+
+
+def _compared(leaves: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """a, b, agree: plausible pairs of all nodes of up to LEAF members, whatever their level."""
+    rows = leaves.join(reps.select("rep", "n", F.col("wide").alias("sketch")), "rep")
+    members = rows.groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members")).select("members")
+    return cut(members.mapInArrow(_leaf_pairs(percent), "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
 
 
 def _hubs(large: DataFrame, reps: DataFrame) -> DataFrame:
@@ -300,14 +322,16 @@ def _hubs(large: DataFrame, reps: DataFrame) -> DataFrame:
     return cut(told.groupBy("node").agg(F.max_by("rep", F.struct("agree", -F.col("rep"))).alias("hub")), "hubs")
 
 
-def _met(us: DataFrame, ws: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of us and ws (group, rep) within a group that are not connected yet, block by block."""
-    told = reps.select("rep", "n", F.col("wide").alias("sketch")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+def _met(us: DataFrame, ws: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Plausible pairs of us and ws (group, rep) within a group that are not connected yet, block by block, by fine sketches of these members."""
+    who = us.select(F.col("rep").alias("doc_id")).union(ws.select("rep")).distinct()
+    fine = cut(texts.join(who, "doc_id", "left_semi").mapInArrow(_fine_sketches(k), "rep long, fine binary"), "fine")
+    told = reps.select("rep", "n", F.col("wide").alias("sketch")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).join(fine, "rep")
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         count = rows.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
         rows = rows.join(count, "group").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).join(told, "rep")
-        return rows.groupBy("group", F.col("block").alias(f"block_{name}")).agg(F.collect_list(F.struct("rep", "n", "part", "sketch")).alias(name))
+        return rows.groupBy("group", F.col("block").alias(f"block_{name}")).agg(F.collect_list(F.struct("rep", "n", "part", "sketch", "fine")).alias(name))
 
     return blocks(us, "us").join(blocks(ws, "ws"), "group").select("us", "ws").mapInArrow(_block_pairs(percent), "a long, b long").distinct()
 
@@ -322,64 +346,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = signed.where("n_shingles > 0 and doc_id is not null")
     reps = linked.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("pool", "sketch", "wide")))
     reps = cut(reps.withColumnRenamed("n_shingles", "n"), "reps")
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"sketch_{x}"))
-    held = lambda pairs, near: pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_row_pairs(percent, near), PAIR_ROWS)
-
-    # the trees, level by level; large nodes are thinned, and what is left of them goes on
-    found, cores, nears, last = [], [], [], None
+    # the first level; its large nodes are thinned
     sized = _sized(reps.select("rep", "pool").mapInArrow(_first_nodes, "node long, path int, rep long"))
-    for level in range(1, LEVELS + 1):
-        found.append(_leaves(sized, reps, percent))
-        large = sized.where(F.col("size") > LEAF)
-        if large.isEmpty():
-            break
-        hubs = _hubs(large, reps)
-        spokes = large.join(hubs, "node").where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-        star = cut(held(spokes, 2 * percent - 100), "star")
-        worth = star.where("core").groupBy("b").count().where(F.col("count") >= LEAF).select("b")
+    leaves, core, near, last = _leaf(sized), None, None, None
+    rest = sized.where(F.col("size") > LEAF).drop("size")
+    if not rest.isEmpty():
+        hubs = _hubs(sized.where(F.col("size") > LEAF), reps)
+        small = (lambda df: F.broadcast(df)) if hubs.count() <= BROADCAST_HUBS else (lambda df: df)
+        side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"sketch_{x}"))
+        spokes = rest.join(small(hubs), "node").where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+        centre = cut(side("b").join(hubs.select(F.col("hub").alias("b")).distinct(), "b", "left_semi"), "centres")
+        star = cut(spokes.join(side("a"), "a").join(small(centre), "b").mapInArrow(_row_pairs(percent, 2 * percent - 100), PAIR_ROWS), "star")
+        worth = star.where("core").groupBy("b").count().where(F.col("count") >= SMALL).select("b")
         core = _verified(texts, star.where("core").join(worth, "b", "left_semi"), k, percent)
         centres = cut(core.select(F.col("b").alias("hub")).distinct(), "centres")
-        cores.append(core)
-        nears.append(star.join(centres, star["b"] == centres["hub"], "left_semi").select("a", "b").join(core, ["a", "b"], "left_anti"))
+        near = star.join(centres, star["b"] == centres["hub"], "left_semi").select("a", "b").join(core, ["a", "b"], "left_anti")
         gone = core.select(F.col("a").alias("rep"), F.col("b").alias("hub")).union(centres.select(F.col("hub").alias("rep"), "hub"))
-        rest = large.join(hubs, "node").join(gone, ["rep", "hub"], "left_anti").select("node", "path", "rep")
-        rest = _sized(cut(rest, "rest"))
-        found.append(_leaves(rest, reps, percent))
-        rest = rest.where(F.col("size") > LEAF).drop("size")
-        if level == LEVELS:
-            last = rest.select(F.col("node").alias("group"), "rep")
-            break
+        rest = cut(rest.join(small(hubs), "node").join(gone, ["rep", "hub"], "left_anti").select("node", "path", "rep"), "rest")
+
+    # the levels below, as long as a node is large; nodes of all levels have names of their own
+    sized = _sized(rest)
+    for level in range(2, LEVELS + 1):
+        rest = sized.where(F.col("size") > LEAF)
+        leaves = leaves.union(_leaf(sized))
         if rest.isEmpty():
             break
         chosen = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-        tokens = chosen.mapInArrow(_level_tokens(k, level + 1), "rep long, tokens binary")
-        sized = _sized(cut(rest.join(tokens, "rep").mapInArrow(_next_nodes(level + 1), "node long, path int, rep long"), "nodes"))
+        tokens = chosen.mapInArrow(_level_tokens(k, level), "rep long, tokens binary")
+        sized = _sized(cut(rest.join(tokens, "rep").mapInArrow(_next_nodes(level), "node long, path int, rep long"), "nodes"))
+    else:
+        leaves = leaves.union(_leaf(sized))
+        last = sized.where(F.col("size") > LEAF).select(F.col("node").alias("group"), "rep")
 
-    both = lambda frames: frames[0] if len(frames) == 1 else frames[0].union(both(frames[1:]))
-    pairs = cut(held(both(found).distinct(), percent).select("a", "b", "agree"), "pairs")
+    pairs = _compared(leaves, reps, percent)
     # the likeliest link of every text comes first; the others are confirmed only where they join what is still apart
-    ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("x"))
+    ends = pairs.select("a", "b", "agree", F.col("a").alias("x")).union(pairs.select("a", "b", "agree", "b"))
     best = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
     edges = _verified(texts, cut(best, "best"), k, percent)
-    labels = components(both([edges, *cores]))
-    at = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"part_{x}"))
-    apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(part_a, a) != coalesce(part_b, b)").select("a", "b")
-    labels = merged(labels, _verified(texts, cut(apart.join(edges, ["a", "b"], "left_anti"), "apart"), k, percent))
-    if cores:
+    labels = components(edges if core is None else edges.union(core))
+    part = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"part_{x}"))
+    apart = lambda rows: rows.join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(part_a, a) != coalesce(part_b, b)").select("a", "b")
+    open_pairs = [apart(pairs).join(edges, ["a", "b"], "left_anti")]
+    if core is not None:
         # what is near to a core and not connected with it meets the core's members
-        near, core = both(nears).distinct(), both(cores).distinct()
-        part = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"part_{x}"))
-        loose = near.join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(part_a, a) != coalesce(part_b, b)")
-        us = cut(loose.select(F.col("b").alias("group"), F.col("a").alias("rep")), "loose")
+        us = cut(apart(near).select(F.col("b").alias("group"), F.col("a").alias("rep")), "loose")
         ws = core.select(F.col("b").alias("group"), F.col("a").alias("rep"))
         ws = ws.union(ws.select("group", F.col("group").alias("rep")).distinct()).join(us.select("group").distinct(), "group", "left_semi")
-        met = cut(_met(us, ws, labels, reps, percent), "met")
-        if not met.isEmpty():
-            labels = merged(labels, _verified(texts, met, k, percent))
+        open_pairs.append(_met(us, ws, labels, reps, texts, k, percent))
     if last is not None:
-        met = cut(_met(last, last, labels, reps, percent), "met")
-        if not met.isEmpty():
-            labels = merged(labels, _verified(texts, met, k, percent))
+        open_pairs.append(_met(last, last, labels, reps, texts, k, percent))
+    met = open_pairs[0]
+    for more in open_pairs[1:]:
+        met = met.union(more)
+    open_pairs = cut(met.distinct(), "open")
+    if not open_pairs.isEmpty():
+        labels = merged(labels, _verified(texts, open_pairs, k, percent))
     classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.col("rep").alias("set_id"), F.coalesce("component", "rep").alias("component_id"))
     out = linked.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "component_id", "set_id")
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("set_id"))

@@ -62,7 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("p"))
-        hook = cut(hook, "hooks")
+        hook = cut(hook, "hooks")  # read by all that follows
         for _ in range(2):
             up = hook.select(F.col("id").alias("p"), F.col("p").alias("q"))
             hook = hook.join(up, "p").select("id", F.col("q").alias("p"))
