@@ -13,6 +13,11 @@ SEASONS = {"spring": 3, "summer": 6, "fall": 9, "autumn": 9, "winter": 12}
 YEARS = (1900, 2100)
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def month_number(word: Column) -> Column:
     """Of a month's name, its first three letters or a season; null for anything else."""
     names = {m: n for n, m in enumerate(MONTHS, 1)} | {m[:3]: n for n, m in enumerate(MONTHS, 1)} | SHORT_MONTHS | SEASONS
@@ -36,24 +41,37 @@ def normalize_date(text: Column) -> Column:
     two a day: year first, with what follows if it is a month, or year last, after
     a month. What is missing is 1. Anything else is null.
     """
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
-    stamp = F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:"), F.to_utc_timestamp(F.try_to_timestamp(t), F.current_timezone()).cast("date"))
-    numbers = F.split(F.regexp_extract(t, "^([0-9./-]+)(?:[T ].*)?$", 1), "[-/.]")
-    number = lambda i: F.when(F.length(F.get(numbers, F.lit(i))).between(1, 4), F.get(numbers, F.lit(i)).cast("int"))
-    short = lambda i: F.coalesce(F.length(F.get(numbers, F.lit(i))).between(1, 2), F.lit(i == 2) & (F.size(numbers) == 2))
-    numeric = (F.length(F.get(numbers, F.lit(0))) == 4) & F.size(numbers).isin(2, 3) & short(1) & short(2)
-    tokens = F.filter(F.split(F.regexp_replace(F.regexp_replace(t, r"\s*-\s*[A-Za-z]+\.?", ""), r"[.,]+(?: |$)", " "), " "), lambda w: w != "")
-    kind = F.array_join(F.transform(tokens, lambda w: F.when(w.rlike("^[0-9]{4}$"), "y").when(w.rlike("^[0-9]{1,2}$"), "d").when(w.rlike("^[A-Za-z]+$"), "w").otherwise("?")), "")
-    first = lambda pattern: F.get(F.filter(tokens, lambda w: w.rlike(pattern)), F.lit(0))
-    year, day, month = first("^[0-9]{4}$").cast("int"), first("^[0-9]{1,2}$").cast("int"), month_number(first("^[A-Za-z]+$"))
-    one = F.lit(1)
-    return (
-        F.when(stamp.isNotNull(), stamp)
-        .when(numeric, _made(number(0), number(1), number(2)))
-        .when(kind == "y", _made(year, one, one))
-        .when(kind.rlike("^yw"), _made(year, F.coalesce(month, one), F.when(month.isNotNull() & kind.rlike("^ywd"), day)))
-        .when(kind.isin("wy", "dwy", "wdy", "dwdy"), _made(year, month, day))
-    )
+    zone = F.current_timezone()
+
+    def split(t: Column) -> Column:
+        tokens = F.filter(F.split(F.regexp_replace(F.regexp_replace(t, r"\s*-\s*[A-Za-z]+\.?", ""), r"[.,]+(?: |$)", " "), " "), lambda w: w != "")
+        return F.struct(t.alias("t"), F.split(F.regexp_extract(t, "^([0-9./-]+)(?:[T ].*)?$", 1), "[-/.]").alias("numbers"), tokens.alias("tokens"))
+
+    def told(x: Column) -> Column:
+        first = lambda pattern: F.get(F.filter(x["tokens"], lambda w: w.rlike(pattern)), F.lit(0))
+        kind = F.array_join(F.transform(x["tokens"], lambda w: F.when(w.rlike("^[0-9]{4}$"), "y").when(w.rlike("^[0-9]{1,2}$"), "d").when(w.rlike("^[A-Za-z]+$"), "w").otherwise("?")), "")
+        number = lambda i: F.when(F.length(F.get(x["numbers"], F.lit(i))).between(1, 4), F.get(x["numbers"], F.lit(i)).cast("int"))
+        short = lambda i: F.coalesce(F.length(F.get(x["numbers"], F.lit(i))).between(1, 2), F.lit(i == 2) & (F.size(x["numbers"]) == 2))
+        numeric = (F.length(F.get(x["numbers"], F.lit(0))) == 4) & F.size(x["numbers"]).isin(2, 3) & short(1) & short(2)
+        stamp = F.when(x["t"].rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:"), F.to_utc_timestamp(F.try_to_timestamp(x["t"]), zone).cast("date"))
+        year, day, month = first("^[0-9]{4}$").cast("int"), first("^[0-9]{1,2}$").cast("int"), month_number(first("^[A-Za-z]+$"))
+        parts = {"kind": kind, "stamp": stamp, "numeric": numeric, "n0": number(0), "n1": number(1), "n2": number(2), "year": year, "month": month, "day": day}
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    def chosen(x: Column) -> Column:
+        """Year, month and day by what the tokens are."""
+        date = lambda y, m, d: F.struct(y.cast("int").alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d"))
+        one, kind = F.lit(1), x["kind"]
+        return (
+            F.when(x["stamp"].isNotNull(), date(F.year(x["stamp"]), F.month(x["stamp"]), F.dayofmonth(x["stamp"])))
+            .when(x["numeric"], date(x["n0"], x["n1"], x["n2"]))
+            .when(kind == "y", date(x["year"], one, one))
+            .when(kind.rlike("^yw"), date(x["year"], F.coalesce(x["month"], one), F.when(x["month"].isNotNull() & kind.rlike("^ywd"), x["day"])))
+            .when(kind.isin("wy", "dwy", "wdy", "dwdy"), date(x["year"], x["month"], x["day"]))
+        )
+
+    steps = bound(bound(bound(F.trim(F.regexp_replace(text, r"\s+", " ")), split), told), chosen)
+    return bound(steps, lambda x: _made(x["y"], x["m"], x["d"]))
 
 
 def to_utc(text: Column) -> Column:

@@ -90,11 +90,11 @@ def agg_count_records(spark, sf):
     return records(spark, sf).agg(F.count_distinct("id").alias("n"))
 
 
-def topic_source(spark, sf, n: int = 80):
-    """(topic, record_type, month, ago, n, w), dense, of one scan of the links."""
+def topic_source(spark, sf, n: int = 80, back: int = 0):
+    """(topic, record_type, month, ago, n, w), dense, of one scan of the links; as things stood ``back`` months before the last."""
     r, t = records(spark, sf).select("id", "record_type", "month"), record_topics(spark, sf)
     counts = t.join(r, r["id"] == t["record_id"], "left").groupBy("month", "record_type", "topic").agg(F.count_distinct("id").alias("n"), F.sum("confidence").alias("w"))
-    return A.dense(counts, ["topic"], "record_type", T.RECORD_TYPES, T.month_list(n), ["n", "w"])
+    return A.dense(counts, ["topic"], "record_type", T.RECORD_TYPES, T.month_list(n + back)[:n], ["n", "w"])
 
 
 def topic_series(spark, sf, n: int = 80):

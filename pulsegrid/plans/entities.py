@@ -103,20 +103,8 @@ def er_link_confidence(spark, sf):
 # area threat and modifiers
 
 
-AREA = """, a AS (SELECT org_id, length(topic) % 3 AS area, id, month FROM records JOIN record_orgs o ON id = o.record_id JOIN record_topics t ON id = t.record_id WHERE month > DATE '2000-05-01'),
-g AS (SELECT org_id, area, count(DISTINCT id) AS records, ln((count(DISTINCT id) FILTER (WHERE month > DATE '2001-04-01') + 1.0) / (count(DISTINCT id) FILTER (WHERE month <= DATE '2001-04-01' AND month > DATE '2001-01-01') + 1.0)) AS growth FROM a GROUP BY ALL HAVING count(DISTINCT id) >= 5)
-"""
 
 
-@query(AREA + "SELECT org_id, area, records, round(CASE WHEN min(growth) OVER w = max(growth) OVER w THEN 50.0 ELSE (rank() OVER (PARTITION BY area ORDER BY growth) - 1 + 0.5 * count(*) OVER (PARTITION BY area, growth)) * 100.0 / count(*) OVER w END, 6) AS threat FROM g WINDOW w AS (PARTITION BY area)", prelude=True)
-def score_threat_by_area(spark, sf):
-    r = records(spark, sf).where(F.col("month") > F.lit("2000-05-01").cast("date"))
-    o, t = record_orgs(spark, sf).select("record_id", "org_id"), record_topics(spark, sf).select("record_id", (F.length("topic") % 3).cast("long").alias("area"))
-    j = r.join(o, r["id"] == o["record_id"]).drop("record_id").join(t, F.col("id") == F.col("record_id"))
-    month = lambda x: F.lit(x).cast("date")
-    n = lambda c: F.count_distinct(F.when(c, F.col("id"))) + 1.0
-    g = j.groupBy("org_id", "area").agg(F.count_distinct("id").alias("records"), F.log(n(F.col("month") > month("2001-04-01")) / n((F.col("month") <= month("2001-04-01")) & (F.col("month") > month("2001-01-01")))).alias("growth")).where("records >= 5")
-    return g.select("org_id", "area", "records", r6(C.percentile(F.col("growth"), ["area"]), "threat"))
 
 
 @query(
@@ -137,27 +125,8 @@ def score_threat_modifiers(spark, sf):
 # insights
 
 
-@query(FEATURES + "SELECT 'emerging' AS insight_type, topic AS entity, CASE WHEN trend >= 80 THEN 'high' WHEN trend >= 60 THEN 'medium' ELSE 'low' END AS severity, 'emerging:' || topic AS dedupe_key FROM conf WHERE trend >= 50", prelude=True)
-def insight_emerging(spark, sf):
-    f = topic_features(spark, sf).where("trend >= 50")
-    return f.select(F.lit("emerging").alias("insight_type"), F.col("topic").alias("entity"), F.when(F.col("trend") >= 80, "high").when(F.col("trend") >= 60, "medium").otherwise("low").alias("severity"), F.concat(F.lit("emerging:"), "topic").alias("dedupe_key"))
 
 
-@query(
-    FEATURES
-    + """, s AS (SELECT 'emerging:' || topic AS dedupe_key, topic FROM conf WHERE trend >= 50),
-seen AS (SELECT 'emerging:' || topic AS dedupe_key FROM (SELECT topic FROM topics ORDER BY topic LIMIT 2))
-SELECT topic AS entity, dedupe_key, (SELECT count(DISTINCT id) FROM records JOIN record_topics t ON id = record_id WHERE t.topic = s.topic AND month > DATE '2001-04-01') AS evidence FROM s WHERE dedupe_key NOT IN (SELECT dedupe_key FROM seen)""",
-    prelude=True,
-)
-def insight_generate(spark, sf):
-    """New insights with the number of records behind them: those seen before and those without evidence go."""
-    i = insight_emerging(spark, sf).select("entity", "dedupe_key")
-    t = record_topics(spark, sf)
-    seen = t.select("topic").distinct().orderBy("topic").limit(2).select(F.concat(F.lit("emerging:"), "topic").alias("dedupe_key"))
-    r = records(spark, sf).where(F.col("month") > F.lit("2001-04-01").cast("date"))
-    evidence = r.join(t, r["id"] == t["record_id"]).groupBy(F.col("topic").alias("entity")).agg(F.count_distinct("id").alias("evidence"))
-    return i.join(seen, "dedupe_key", "left_anti").join(evidence, "entity").select("entity", "dedupe_key", "evidence")
 
 
 # robustness: the same scores under changed weights, in one plan
@@ -179,11 +148,3 @@ def ev_robust_weights(spark, sf):
     g = r.where("k > 0").join(y, "topic").groupBy(F.col("k").alias("weights"))
     return g.agg(F.sum(F.abs(F.col("pos") - F.col("base"))).alias("moved"), F.count_if((F.col("pos") <= 3) & (F.col("base") <= 3)).alias("kept_top3"))
 
-
-@query("SELECT kind, round(avg(CASE WHEN (toxic = 1) = said THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM (SELECT toxic, x.k AS kind, x.s AS said FROM (SELECT l.toxic, unnest([{'k': 'keyword', 's': contains(lower(text), 'hate')}, {'k': 'never', 's': false}]) AS x FROM labels l JOIN documents USING (doc_id))) GROUP BY ALL")
-def ev_ai_ablation(spark, sf):
-    """Two keyword baselines against the labels."""
-    j = read(spark, sf, "labels").join(read(spark, sf, "documents"), "doc_id")
-    said = F.array(F.struct(F.lit("keyword").alias("kind"), F.lower("text").contains("hate").alias("said")), F.struct(F.lit("never").alias("kind"), F.lit(False).alias("said")))
-    e = j.select("toxic", F.explode(said).alias("x")).select("toxic", "x.kind", "x.said")
-    return e.groupBy("kind").agg(r6(F.avg(F.when((F.col("toxic") == 1) == F.col("said"), 1.0).otherwise(0.0)), "accuracy"), F.count("*").alias("n"))

@@ -273,18 +273,8 @@ def agg_quality_checks(spark, sf):
     return out
 
 
-@query(
-    """SELECT doc_id, arg_max(quality, ln) AS quality FROM (SELECT doc_id, quality, toxic AS ln FROM labels) GROUP BY ALL""",
-    prelude=False,
-)
-def ev_latest_stored(spark, sf):
-    return read(spark, sf, "labels").groupBy("doc_id").agg(F.max_by("quality", "toxic").alias("quality"))
 
 
-@query("SELECT conv_id, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1", prelude=False)
-def ev_alert_latest(spark, sf):
-    c = read(spark, sf, "conversations")
-    return c.withColumn("rn", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))).where("rn = 1").select("conv_id", "role", "text")
 
 
 # read queries and the star schema
@@ -377,15 +367,6 @@ def st_late_month(spark, sf):
     return read(spark, sf, "orders").agg(F.count_if(late).alias("in_progress"), F.count_if(~late).alias("complete"))
 
 
-@query(
-    """SELECT user_id AS source, max(ts) AS watermark, CASE WHEN max(ts) FILTER (WHERE event_type <> 'error') IS NULL THEN 'full' WHEN max(ts) >= TIMESTAMP '2024-01-30' THEN 'skip' ELSE 'incremental' END AS mode,
-  max(ts) FILTER (WHERE event_type <> 'error') - INTERVAL 7 DAY AS start FROM events GROUP BY ALL""",
-    prelude=False,
-)
-def st_window_plan(spark, sf):
-    done = F.max(F.when(F.col("event_type") != "error", F.col("ts")))
-    mode = F.when(done.isNull(), "full").when(F.max("ts") >= F.lit("2024-01-30").cast("timestamp_ntz"), "skip").otherwise("incremental")
-    return read(spark, sf, "events").groupBy(F.col("user_id").alias("source")).agg(F.max("ts").alias("watermark"), mode.alias("mode"), (done - F.expr("interval 7 day")).alias("start"))
 
 
 # sinks, as what they would write
@@ -415,8 +396,3 @@ def sink_preview_upsert(spark, sf):
     u = _upsert(spark, sf)
     is_ = lambda x: F.count_if(F.col("action") == x)
     return u.agg(is_("insert").alias("inserted"), is_("update").alias("updated"), is_("unchanged").alias("unchanged"))
-
-
-@query("SELECT doc_id FROM documents WHERE source <> 'src0'", prelude=False)
-def sink_reset_synthetic(spark, sf):
-    return read(spark, sf, "documents").where("source <> 'src0'").select("doc_id")

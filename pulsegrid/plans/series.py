@@ -226,18 +226,6 @@ def win_lead_time(spark, sf):
     return a.select("topic", F.col("alert").alias("month"), F.date_diff(first, "alert").cast("long").alias("lead_days"))
 
 
-@query(
-    """, sl AS (SELECT topic, regr_slope(ln(1 + v), -ago) FILTER (WHERE ago < 12) AS now, regr_slope(ln(1 + v), -ago) FILTER (WHERE ago BETWEEN 1 AND 12) AS before FROM topic_series GROUP BY ALL),
-p AS (SELECT topic, (rank() OVER (ORDER BY now) - 1 + 0.5) * 100.0 / count(*) OVER () AS a, (rank() OVER (ORDER BY before) - 1 + 0.5) * 100.0 / count(*) OVER () AS b FROM sl)
-SELECT topic, round(1 - abs(a - b) / 100, 6) AS stability FROM p"""
-)
-def win_stability(spark, sf):
-    """One less the change of the cohort percentile of velocity since the month before."""
-    s = topic_series(spark, sf, 14)
-    now = S.velocity(s, ["topic"]).select("topic", F.col("velocity").alias("now"))
-    before = S.velocity(s.where("ago >= 1").withColumn("ago", F.col("ago") - 1), ["topic"]).select("topic", F.col("velocity").alias("before"))
-    j = now.join(before, "topic").withColumn("c", F.lit(1))
-    return j.select("topic", C.percentile(F.col("now"), ["c"]).alias("a"), C.percentile(F.col("before"), ["c"]).alias("b")).select("topic", r6(1 - F.abs(F.col("a") - F.col("b")) / 100, "stability"))
 
 
 # the flagship, and scores
@@ -259,14 +247,17 @@ conf AS (SELECT *, 100 * (0.35 * sample + 0.25 * agreement + 0.20 * completeness
 """
 
 
-def topic_features(spark, sf):
-    """One row for each topic: features, their cohort percentiles, trend and confidence."""
+def topic_features(spark, sf, back: int = 0, without: str | None = None, window: int = 12, scale=C.percentile):
+    """One row for each topic: features, their cohort percentiles, trend and confidence.
+
+    ``back`` months before the last; ``without`` a source; with another velocity ``window`` or cohort ``scale``.
+    """
     # one row for each topic and month, then one for each topic: the links are read once
     of = lambda k: F.sum(F.when(F.col("record_type") == k, F.col("n")))
-    m = topic_source(spark, sf, 14).groupBy("topic", "month", "ago").agg(F.sum("n").alias("v"), *[of(k).alias(k) for k in RECORD_TYPES])
+    m = topic_source(spark, sf, max(14, window), back).where(F.col("record_type") != F.lit(without) if without else F.lit(True)).groupBy("topic", "month", "ago").agg(F.sum("n").alias("v"), *[F.coalesce(of(k), F.lit(0.0)).alias(k) for k in RECORD_TYPES])
     m = m.withColumn("step", F.col("v") - F.lag("v").over(W.partitionBy("topic").orderBy(F.col("ago").desc())))
     change = lambda c: S.log_ratio(S.sum_between("ago", c, 0, 2), S.sum_between("ago", c, 3, 5))
-    last = F.col("ago") < 12
+    last = F.col("ago") < window
     f = m.groupBy("topic").agg(
         F.sum("v").alias("total"),
         change("v").alias("momentum"),
@@ -284,7 +275,7 @@ def topic_features(spark, sf):
         "c": F.lit(1),
     })
     names = ("velocity", "momentum", "patent_growth", "funding_growth", "consistency")
-    f = f.select("*", *[C.percentile(F.col(n), ["c"]).alias(f"p_{n}") for n in names])
+    f = f.select("*", *[scale(F.col(n), ["c"]).alias(f"p_{n}") for n in names])
     trend = sum((F.lit(w) * F.col(f"p_{n}") for n, w in zip(names, (0.30, 0.25, 0.20, 0.15, 0.10), strict=True)), F.lit(0.0))
     f = f.select("*", trend.alias("trend"), (1 - F.exp(-F.col("total") / 25)).alias("sample"), (F.col("supporting") / F.nullif(F.col("available"), F.lit(0))).alias("agreement"), (F.col("available") / 5).alias("completeness"))
     confidence = 100 * (0.35 * F.col("sample") + 0.25 * F.col("agreement") + 0.20 * F.col("completeness") + 0.10 + 0.10)
@@ -321,11 +312,6 @@ def score_trend_gates(spark, sf):
     return g.select("topic", *[F.get("gates", F.lit(i)).alias(n) for i, n in enumerate(GATES)], F.forall("gates", lambda x: x).alias("qualified"))
 
 
-@query(FEATURES + "SELECT topic, round(0.60 * trend + 0.25 * (100 - 50) + 0.15 * agreement * 100, 6) AS opportunity FROM sc")
-def score_opportunity(spark, sf):
-    """With a neutral density of 50 for every topic."""
-    f = topic_features(spark, sf)
-    return f.select("topic", r6(0.60 * F.col("trend") + 0.25 * F.lit(50.0) + 0.15 * F.col("agreement") * 100, "opportunity"))
 
 
 @query(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import activity, entities, forecasts, relational, resolution, scalars, series, streams
+from pulsegrid.plans import activity, checks, entities, forecasts, ingestion, relational, resolution, scalars, series, store, streams
 
-MODULES = [activity, series, relational, scalars, entities, resolution, forecasts, streams]
+MODULES = [activity, series, relational, scalars, entities, resolution, store, checks, ingestion, forecasts, streams]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import math
 
 import duckdb
@@ -72,19 +71,6 @@ def test_percentile_rules(spark):
     assert of([4]) == [50.0] and of([2, 2]) == [50.0, 50.0] and of([1, float("nan"), 3]) == [50.0] * 3
 
 
-def test_dates(spark):
-    from pyspark.sql import functions as F
-
-    from pulsegrid.functions.text import normalize_date
-
-    cases = {
-        "2026-02-10": dt.date(2026, 2, 10), "2026.2": dt.date(2026, 2, 1), "2026": dt.date(2026, 1, 1), "2024 Mar-Apr": dt.date(2024, 3, 1), "2023 Winter": dt.date(2023, 1, 1),
-        "15 March 2026": dt.date(2026, 3, 15), "March 15, 2026": dt.date(2026, 3, 15), "2025-02-31": dt.date(2025, 2, 28), "2026-02-10T05:06:07Z": dt.date(2026, 2, 10), "1776": None, "soon": None,
-    }
-    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
-    assert [r["d"] for r in df.select("i", normalize_date(F.col("t")).alias("d")).orderBy("i").collect()] == list(cases.values())
-
-
 def test_upsert_replays_change_nothing(spark):
     from pulsegrid.sources.sinks import upsert
 
