@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import names as N
+from pulsegrid.operators.graph import written
 
 #: Similarity from which names are merged, and from which they are reviewed; words of a name that may be a prefix.
 MERGE, REVIEW, PREFIX_WORDS = 0.92, 0.80, 2
@@ -100,8 +101,9 @@ def resolve(mentions: DataFrame, known: DataFrame) -> DataFrame:
     or the kind speaks against it; from REVIEW on the name is new, for review.
     Anything else is new. A null org_id stands for the new organization of that name.
     """
-    m = named(mentions.select("raw").distinct())
-    k = named(known.select("org_id", F.col("name").alias("raw")))
+    # read by every step, so worked out once
+    m = written(named(mentions.select("raw").distinct()), "mentions")
+    k = written(named(known.select("org_id", F.col("name").alias("raw"))), "known")
     kinds = k.select("org_id", N.classify_org(F.col("raw"))["kind"].alias("kind"), F.col("words").alias("org_words"))
     keyed = by_keys(m, k)
     rest = m.join(keyed, "raw", "left_anti")

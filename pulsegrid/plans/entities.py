@@ -55,40 +55,60 @@ def dedupe_across_sources(spark, sf):
     return _canonical(spark, sf).where("kind = 'title' and source <> c_source").select("id", "canonical")
 
 
-# topics by terms: whole words, plural allowed
+# topics by terms in the fields of a page: whole words, any separator, plural allowed
 
-TERMS = [("articles", ("the", "les", "der")), ("conjunctions", ("and", "und", "et")), ("negations", ("not", "nicht", "pas"))]
 
+TERMS = [("articles", ("the", "les", "der")), ("conjunctions", ("and", "und", "et")), ("negations", ("not at", "nicht", "pas")), ("units", ("thing", "tion on", "unter"))]
+#: What a match in a field is worth; each further term adds a little, up to a limit, and less than the least is no match (fixed values).
+FIELDS, MORE, MOST, LEAST = {"title": 0.9, "lead": 0.7, "body": 0.55}, 0.05, 0.95, 0.5
 
-def _pattern(terms) -> str:
-    return r"(^|[^a-z0-9_-])(" + "|".join(terms) + r")s?([^a-z0-9_-]|$)"
+
+def _pattern(term: str) -> str:
+    """The term as whole words, whatever stands between them, with a plural s."""
+    return r"(^|[^a-z0-9_-])" + r"[\s_-]*".join(term.split()) + r"s?([^a-z0-9_-]|$)"
+
+
+PAGE_FIELDS = "SELECT page_id, lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, lower(regexp_replace(regexp_extract(html, '(?s)<p[^>]*>(.*?)</p>', 1), '<[^>]*>', ' ', 'g')) AS lead, lower(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS body FROM pages"
 
 
 @query(
-    "SELECT doc_id, topic, round(least(CAST(0.8 AS DOUBLE) + CAST(0.05 AS DOUBLE) * (terms - 1), CAST(0.95 AS DOUBLE)), 6) AS confidence FROM ("
-    + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS topic, " + " + ".join(f"CASE WHEN regexp_matches(lower(text), '{_pattern((t,))}') THEN 1 ELSE 0 END" for t in ts) + " AS terms FROM documents" for n, ts in TERMS)
-    + ") WHERE terms > 0"
+    f"WITH p AS ({PAGE_FIELDS}), t AS ("
+    + " UNION ALL ".join(f"SELECT page_id, '{n}' AS topic, " + ", ".join(" + ".join(f"CASE WHEN regexp_matches({f}, '{_pattern(t)}') THEN 1 ELSE 0 END" for t in ts) + f" AS n_{f}" for f in FIELDS) + ", " + " + ".join("CASE WHEN " + " OR ".join(f"regexp_matches({f}, '{_pattern(t)}')" for f in FIELDS) + " THEN 1 ELSE 0 END" for t in ts) + " AS terms FROM p" for n, ts in TERMS)
+    + f") SELECT page_id, topic, round(least(CASE {' '.join(f'WHEN n_{f} > 0 THEN CAST({w} AS DOUBLE)' for f, w in FIELDS.items())} END + {MORE} * (terms - 1), {MOST}), 6) AS confidence, CAST(terms AS INTEGER) AS terms FROM t WHERE terms > 0"
 )
 def topic_match(spark, sf):
-    """All topics in one pass over the texts: no join with a table of terms."""
-    low = F.lower("text")
+    """All topics in one pass over the pages: the best field that has a term, and how many terms any field has; no join with a table of terms."""
+    html = F.col("html")
+    plain = lambda c: F.lower(F.regexp_replace(c, "<[^>]*>", " "))
+    p = read(spark, sf, "pages").select("page_id", F.lower(F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1)).alias("title"), plain(F.regexp_extract(html, "(?s)<p[^>]*>(.*?)</p>", 1)).alias("lead"), plain(html).alias("body"))
     found = []
     for name, terms in TERMS:
-        n = sum((F.when(low.rlike(_pattern((t,))), 1).otherwise(0) for t in terms), F.lit(0))
-        found.append(F.struct(F.lit(name).alias("topic"), n.alias("terms")))
-    d = read(spark, sf, "documents").select("doc_id", F.explode(F.array(*found)).alias("x")).where("x.terms > 0")
-    return d.select("doc_id", "x.topic", r6(F.least(0.8 + 0.05 * (F.col("x.terms") - 1), F.lit(0.95)), "confidence"))
+        hit = {f: [F.col(f).rlike(_pattern(t)) for t in terms] for f in FIELDS}
+        count = sum((F.when(F.greatest(*[hit[f][i] for f in FIELDS]), 1).otherwise(0) for i in range(len(terms))), F.lit(0))
+        best = F.coalesce(*[F.when(F.greatest(*hit[f]), F.lit(w)) for f, w in FIELDS.items()])
+        found.append(F.struct(F.lit(name).alias("topic"), count.alias("terms"), best.alias("best")))
+    d = p.select("page_id", F.explode(F.array(*found)).alias("x")).where("x.terms > 0")
+    sure = F.least(F.col("x.best") + MORE * (F.col("x.terms") - 1), F.lit(MOST))
+    return d.select("page_id", "x.topic", r6(sure, "confidence"), F.col("x.terms").alias("terms")).where(F.col("confidence") >= LEAST)
 
 
 # organizations
 
 
-@query("SELECT o_orderkey AS record_id, c_name AS name, 'sponsor' AS relationship FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority LIKE '1%' UNION ALL SELECT DISTINCT o_orderkey, s_name, 'assignee' FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderpriority LIKE '3%'")
+@query(
+    """, m AS (SELECT DISTINCT r.id AS record_id, r.record_type, c_name AS customer, s_name AS supplier FROM records r JOIN orders ON o_orderkey = r.id JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = r.id LEFT JOIN supplier ON s_suppkey = l_suppkey)
+SELECT DISTINCT record_id, customer AS name, CASE record_type WHEN 'clinical_trial' THEN 'sponsor' WHEN 'funding' THEN 'recipient' WHEN 'announcement' THEN 'announcer' END AS relationship FROM m WHERE record_type IN ('clinical_trial', 'funding', 'announcement')
+UNION ALL SELECT DISTINCT record_id, supplier, CASE record_type WHEN 'clinical_trial' THEN 'collaborator' WHEN 'patent' THEN 'assignee' WHEN 'announcement' THEN 'partner' END FROM m WHERE supplier IS NOT NULL AND record_type IN ('clinical_trial', 'patent', 'announcement')""",
+    prelude=True,
+)
 def er_mentions(spark, sf):
+    """Names of each record by role: who leads it first, then who takes part; publications name nobody."""
+    r = records(spark, sf).select(F.col("id").alias("record_id"), "record_type").where(F.col("record_type") != "publication")
     o, c, line, s = (read(spark, sf, t) for t in ("orders", "customer", "lineitem", "supplier"))
-    a = o.where(F.col("o_orderpriority").startswith("1")).join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("record_id"), F.col("c_name").alias("name"), F.lit("sponsor").alias("relationship"))
-    b = o.where(F.col("o_orderpriority").startswith("3")).join(line, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    return a.unionByName(b.select(F.col("o_orderkey").alias("record_id"), F.col("s_name").alias("name"), F.lit("assignee").alias("relationship")).distinct())
+    role = lambda i: F.coalesce(*[F.when(F.col("record_type") == k, F.lit(v[i])) for k, v in (("clinical_trial", ("sponsor", "collaborator")), ("patent", (None, "assignee")), ("funding", ("recipient", None)), ("announcement", ("announcer", "partner")))])
+    leads = r.join(o, F.col("o_orderkey") == F.col("record_id")).join(c, F.col("o_custkey") == F.col("c_custkey")).select("record_id", F.col("c_name").alias("name"), role(0).alias("relationship"))
+    parts = r.join(line, F.col("l_orderkey") == F.col("record_id")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("record_id", F.col("s_name").alias("name"), role(1).alias("relationship")).distinct()
+    return leads.unionByName(parts).where("relationship is not null")
 
 
 LINK = {"A": 0.95, "N": 0.9, "R": 0.7}

@@ -135,11 +135,9 @@ def m_spearman(spark, sf):
 SELECT round(sum(sa * sb) / nullif(sqrt(sum(sa * sa) * sum(sb * sb)), 0), 6) AS kendall FROM p"""
 )
 def m_kendall(spark, sf):
-    """Tau-b over the pairs of a ranking: entities, not records, so few."""
-    x = two_scores(spark, sf)
-    y = x.select(F.col("topic").alias("t2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    p = x.join(y, F.col("topic") < F.col("t2")).select(F.signum(F.col("a") - F.col("a2")).alias("sa"), F.signum(F.col("b") - F.col("b2")).alias("sb"))
-    return p.agg(r6(F.sum(F.col("sa") * F.col("sb")) / F.nullif(F.sqrt(F.sum(F.col("sa") * F.col("sa")) * F.sum(F.col("sb") * F.col("sb"))), F.lit(0.0)), "kendall"))
+    """Tau-b by sorting and merging: a ranking has a row for each entity, so it is one task's work, not all pairs'."""
+    both = two_scores(spark, sf).agg(F.collect_list(F.struct(F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))).alias("x"))
+    return both.mapInPandas(P.kendall, "kendall double").select(r6("kendall"))
 
 
 FOLDS = """, cut AS (SELECT ago AS c FROM months WHERE ago BETWEEN 2 AND 60),
@@ -180,8 +178,30 @@ def ev_benchmarks(spark, sf):
     return r.groupBy("topic").agg(r6(F.avg("pos"), "mean_rank"), r6(F.avg(1 - (F.col("pos") - 1) / (F.col("n") - 1)), "percentile"))
 
 
-@query("SELECT month AS cutoff FROM months WHERE ago BETWEEN 3 AND 80 - 1 - 15")
+@query(", b AS (SELECT min(month) AS lo, max(month) AS hi FROM records) SELECT CAST(unnest(generate_series(lo + INTERVAL 15 MONTH, hi - INTERVAL 3 MONTH, INTERVAL 1 MONTH)) AS DATE) AS cutoff FROM b")
 def ev_cutoffs(spark, sf):
-    from pulsegrid.sources.tables import months
+    """Months with fifteen before them and a whole horizon after, of what the records span."""
+    from pulsegrid.sources.tables import records
 
-    return months(spark, 80).where("idx >= 15 and idx <= 76").select(F.col("month").alias("cutoff"))
+    b = records(spark, sf).agg(F.add_months(F.min("month"), 15).alias("lo"), F.add_months(F.max("month"), -3).alias("hi")).where("lo <= hi")
+    return b.select(F.explode(F.expr("sequence(lo, hi, interval 1 month)")).alias("cutoff"))
+
+
+@query(FOLDS + ", r AS (SELECT c, topic, real, row_number() OVER (PARTITION BY c ORDER BY round(score, 9) DESC, topic) AS pos FROM g), p AS (SELECT c, avg(CASE WHEN real > 0 THEN 1.0 ELSE 0.0 END) AS hit, avg(real) AS gain FROM r WHERE pos <= 3 GROUP BY ALL) SELECT count(*) AS folds, round(avg(hit), 6) AS precision_3, round(avg(gain), 6) AS gain_3 FROM p")
+def ev_fold_means(spark, sf):
+    """Means over the folds; a fold without a value counts for none."""
+    r = folds(spark, sf).withColumn("pos", F.row_number().over(W.partitionBy("c").orderBy(F.desc(F.round("score", 9)), "topic"))).where("pos <= 3")
+    p = r.groupBy("c").agg(F.avg(F.when(F.col("real") > 0, 1.0).otherwise(0.0)).alias("hit"), F.avg("real").alias("gain"))
+    return p.agg(F.count("*").alias("folds"), r6(F.avg("hit"), "precision_3"), r6(F.avg("gain"), "gain_3"))
+
+
+@query(MEASURES + "SELECT topic, model, mase < 1 AS beats_naive FROM ms")
+def m_beats_naive(spark, sf):
+    """Whether a model's scaled error is below one; null where the scale is none."""
+    return measures(spark, sf).select("topic", "model", (F.col("mase") < 1).alias("beats_naive"))
+
+
+@query("")
+def fc_run(spark, sf):
+    """Forecasts of every topic by the best of five models in its backtest; fitted per entity, so there is no SQL twin."""
+    return P.selected(history(spark, sf), "topic")

@@ -56,8 +56,10 @@ def join_trial_record_org(spark, sf):
 
 @query("SELECT record_type, id, published_at FROM records r WHERE month = (SELECT max(month) FROM records x WHERE x.record_type = r.record_type)")
 def join_latest_group(spark, sf):
+    """The records of each type's last month: one small aggregate, broadcast to the records, none of which is shuffled."""
     r = records(spark, sf)
-    return r.withColumn("last", F.max("month").over(W.partitionBy("record_type"))).where("month = last").select("record_type", "id", "published_at")
+    last = r.groupBy("record_type").agg(F.max("month").alias("month"))
+    return r.join(F.broadcast(last), ["record_type", "month"]).select("record_type", "id", "published_at")
 
 
 @query("SELECT id, record_type FROM records WHERE NOT EXISTS (SELECT 1 FROM record_topics WHERE record_id = id)")
@@ -261,7 +263,7 @@ def agg_quality_checks(spark, sf):
     stamp = lambda x: F.lit(x).cast("timestamp_ntz")
     found = [
         ("required", d, F.count_if(F.col("text").isNull() | (F.col("text") == ""))),
-        ("duplicate", d, F.count("*") - F.count_distinct("text")),
+        ("duplicate", d, F.count("*") - F.count_distinct(F.md5("text"))),
         ("date", o, F.count_if((F.col("o_orderdate") < stamp("1995-02-01")) | (F.col("o_orderdate") >= stamp("2001-08-01")))),
         ("range", line, F.count_if(~F.col("l_discount").between(0, 0.05))),
         ("ingest", e, F.count_if(F.col("event_type") == "error")),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import names as N
 from pulsegrid.operators import resolution as R
+from pulsegrid.operators.graph import written
 from pulsegrid.plans.activity import r6
 from pulsegrid.sources.tables import read
 
@@ -67,6 +68,11 @@ def mentions(spark, sf):
     return read(spark, sf, "customer").selectExpr("c_custkey as id", raw_name("c_custkey", True) + " as raw")
 
 
+def resolved(spark, sf):
+    """The links of all mentions, as a table."""
+    return written(R.resolve(mentions(spark, sf), known(spark, sf)), "resolved")
+
+
 SPACE = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 LEGAL_RE = "(?: (?:" + "|".join(N.LEGAL) + "))+$"
 
@@ -93,10 +99,10 @@ METHODS = tuple(N.KEY_CONFIDENCE)
 KEYS_SQL = f"""mkeys AS (SELECT raw, position, ([{', '.join(f"'{m}'" for m in METHODS)}])[position + 1] AS method, key FROM (SELECT raw, unnest(range(5)) AS position, unnest(ks) AS key, ks FROM mention) WHERE key <> '' AND list_position(ks, key) = position + 1)"""
 
 
-@query(f"""WITH {KNOWN_SQL} SELECT org_id AS id, normalized AS name, "full", ks[4] AS compact, ks[5] AS full_compact FROM known""")
+@query(f"""WITH {KNOWN_SQL} SELECT org_id AS id, normalized AS name, "full" AS expanded, ks[4] AS compact, ks[5] AS full_compact FROM known""")
 def fn_normalize_org(spark, sf):
     k = R.named(known(spark, sf).withColumnRenamed("name", "raw"))
-    return k.select(F.col("org_id").alias("id"), F.col("normalized").alias("name"), "full", N.compact(F.col("normalized")).alias("compact"), N.compact(F.col("full")).alias("full_compact"))
+    return k.select(F.col("org_id").alias("id"), F.col("normalized").alias("name"), F.col("full").alias("expanded"), N.compact(F.col("normalized")).alias("compact"), N.compact(F.col("full")).alias("full_compact"))
 
 
 @query(f"WITH {RAW_SQL} SELECT raw, sorted AS words FROM mention")
@@ -246,7 +252,7 @@ def er_compatible(spark, sf):
 @query(f"""WITH {RESOLVE} SELECT "full" AS name, count(*) AS spellings, min(raw) AS first_spelling, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY "full") AS org_id FROM resolved WHERE org_id IS NULL GROUP BY "full" """)
 def er_create(spark, sf):
     """New organizations, one for each expanded name, with ids after the known ones. A replay makes the same ones."""
-    new = R.resolve(mentions(spark, sf), known(spark, sf)).where("org_id is null").groupBy(F.col("full").alias("name")).agg(F.count("*").alias("spellings"), F.min("raw").alias("first_spelling"))
+    new = resolved(spark, sf).where("org_id is null").groupBy(F.col("full").alias("name")).agg(F.count("*").alias("spellings"), F.min("raw").alias("first_spelling"))
     last = known(spark, sf).agg(F.max("org_id").alias("last"))
     # ids in name order without one task for all: counts of a name's first letter, then places within it
     first = new.withColumn("lead", F.substring("name", 1, 1))
@@ -260,7 +266,7 @@ def er_create(spark, sf):
 @query(f"""WITH {RESOLVE} SELECT 'organization_match' AS queue_type, "full" AS subject, count(*) AS spellings, min(raw) AS raw_name, 'pending' AS status FROM resolved WHERE review GROUP BY "full" """)
 def er_review_queue(spark, sf):
     """One item for each name to review, however many spellings led to it."""
-    r = R.resolve(mentions(spark, sf), known(spark, sf)).where("review")
+    r = resolved(spark, sf).where("review")
     return r.groupBy(F.col("full").alias("subject")).agg(F.count("*").alias("spellings"), F.min("raw").alias("raw_name")).select(F.lit("organization_match").alias("queue_type"), "subject", "spellings", "raw_name", F.lit("pending").alias("status"))
 
 
@@ -301,7 +307,7 @@ FROM (SELECT *, row_number() OVER (ORDER BY raw DESC) AS hash_order FROM a) GROU
 )
 def er_alias_counts(spark, sf):
     """Spellings of each organization, their mentions, and the one to show: most mentioned, then most presentable, then first by name."""
-    linked = R.resolve(mentions(spark, sf), known(spark, sf)).where("org_id is not null").select("raw", "org_id")
+    linked = resolved(spark, sf).where("org_id is not null").select("raw", "org_id")
     a = mentions(spark, sf).groupBy("raw").agg(F.count("*").alias("mentions")).join(linked, "raw")
     best = a.withColumn("rank", F.struct("mentions", N.display_quality(F.col("raw")).alias("q")))
     top = best.groupBy("org_id").agg(F.count("*").alias("aliases"), F.sum("mentions").alias("mentions"), F.max("rank").alias("rank"))
@@ -317,7 +323,7 @@ def norm_run(spark, sf):
     """Pending mentions with their links, in batches of 500 ids; stored links are skipped, so a run may be repeated."""
     stored = read(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
     todo = mentions(spark, sf).join(stored, "id", "left_anti")
-    linked = R.resolve(mentions(spark, sf), known(spark, sf))
+    linked = resolved(spark, sf)
     return todo.join(linked, "raw").select("id", "raw", F.coalesce("org_id", F.lit(-1).cast("long")).alias("org_id"), F.round(F.col("confidence") * 0.95, 3).alias("confidence"), F.lit("normalized").alias("status"), F.floor(F.col("id") / 500).alias("batch"))
 
 

@@ -67,9 +67,9 @@ def fn_normalize_date(spark, sf):
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), dated().alias("raw")).select("id", "raw", X.normalize_date(F.col("raw")).alias("day"))
 
 
-@query(f"SELECT id, CASE WHEN id % {len(SHAPES)} = 9 THEN d WHEN id % {len(SHAPES)} = {len(SHAPES) - 1} THEN CAST(CAST(d AS DATE) AS TIMESTAMP) + INTERVAL 28 HOUR + INTERVAL 30 MINUTE ELSE CAST(day AS TIMESTAMP) END AS at FROM ({DATED})")
+@query(f"SELECT id, CASE WHEN id % {len(SHAPES)} = 9 THEN d WHEN id % {len(SHAPES)} = {len(SHAPES) - 1} THEN CAST(CAST(d AS DATE) AS TIMESTAMP) + INTERVAL 28 HOUR + INTERVAL 30 MINUTE ELSE CAST(day AS TIMESTAMP) END AS moment FROM ({DATED})")
 def fn_to_utc_datetime(spark, sf):
-    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), dated().alias("raw")).select("id", X.to_utc(F.col("raw")).alias("at"))
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), dated().alias("raw")).select("id", X.to_utc(F.col("raw")).alias("moment"))
 
 
 @query(

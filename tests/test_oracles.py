@@ -54,7 +54,29 @@ def test_smoothing_follows_a_line_and_a_season():
     assert abs(P.holt_values(line, 1)[0][0] - 30) < 2
     wave = np.tile(np.arange(12.0), 4)
     assert np.abs(P.holt_values(wave, 12, 12)[0] - np.arange(12)).max() < 2
-    assert np.allclose(P.autoregression(np.full(20, 5.0), 3), 5)
+    assert np.allclose(P.arima(np.full(20, 5.0), 3), 5) and np.allclose(P.arima(line, 3), [30, 31, 32], atol=0.5)
+
+
+def test_models_are_chosen_by_their_backtest(spark):
+    rows = [("wave", f"{2020 + i // 12}-{i % 12 + 1:02d}-01", float(i % 12)) for i in range(48)] + [("flat", f"{2020 + i // 12}-{i % 12 + 1:02d}-01", 5.0) for i in range(30)] + [("short", f"2020-{i + 1:02d}-01", float(i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "topic string, m string, v double").selectExpr("topic", "date(m) as month", "v")
+    got = {(r["topic"], r["step"]): r for r in P.selected(df, "topic").collect()}
+    assert got["wave", 1]["model"] == "seasonal_naive" and [got["wave", h]["predicted"] for h in (1, 2)] == [0.0, 1.0]
+    assert got["flat", 1]["model"] == "naive" and got["flat", 1]["metric"] == 0.0
+    assert got["short", 1]["model"] == "naive" and got["short", 1]["metric"] is None
+
+
+def test_kendall_equals_all_pairs():
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 7, 40):
+        a, b = rng.integers(0, 6, n).astype(float), rng.integers(0, 6, n).astype(float)
+        i, j = np.triu_indices(n, 1)
+        s, t = np.sign(a[i] - a[j]), np.sign(b[i] - b[j])
+        below = math.sqrt((s * s).sum() * (t * t).sum())
+        got = next(iter(P.kendall([pd.DataFrame({"x": [[{"a": x, "b": y} for x, y in zip(a, b, strict=True)]]})])))["kendall"][0]
+        assert math.isnan(got) if not below else math.isclose(got, (s * t).sum() / below, abs_tol=1e-12)
 
 
 def test_percentile_rules(spark):
