@@ -7,12 +7,19 @@ has it, the word itself; transitions are learned too. Labels for training come
 from documents: a document's words carry its language, and chains spliced from
 pieces of different documents teach what a switch looks like.
 
-Training reads a bounded sample (``sample_docs`` documents, those with the
-smallest hash of their id); prediction sees texts only. A text's language is
-the one with the largest mean marginal over its words, which is the score.
-
-Results: ``und`` with score 0 for a null text, one without letters, or a model
-without training rows. Null languages are never learned.
+Training reads a bounded sample of labelled rows: ``sample_docs`` documents, those
+with an id of the smallest hash, and of each up to
+``sample_pieces`` pieces of PIECE words, chosen by their hash from anywhere in
+the whole text. Prediction sees whole texts only. A text's language is the one with
+the largest mean marginal over its words, which is the score (of equal ones the
+first by name); ``certainty`` is the mean of each word's largest marginal, so a
+text that changes language may be certain though no language has most of it.
+
+Results: ``und`` with score and certainty 0 for a null or empty text, one without
+letters, or a model without training rows. Null languages and rows without an id are never learned.
+Repeated rows are told alike and each returned; an empty table gives an empty
+result. Words are runs of letters of any length; a row's other columns are not read
+but for those carried, whose names may not be the result's (see ``names``).
 """
 
 from __future__ import annotations
@@ -27,22 +34,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.textops import slices
+from pulsegrid.llm.stages import bounded, cut
+from pulsegrid.llm.textops import released, slices
 
-#: Documents to learn from, words to learn from, hashed features, words in a piece, steps, and words a worker remembers.
-SAMPLE_DOCS, SAMPLE_WORDS, BUCKETS, PIECE, ROUNDS, REMEMBERED = 1200, 300_000, 1 << 17, 24, 30, 300_000
+#: Documents to learn from, pieces of each, hashed features, words in a piece, steps, and words a worker remembers.
+SAMPLE_DOCS, SAMPLE_PIECES, BUCKETS, PIECE, ROUNDS, REMEMBERED = 1200, 24, 1 << 17, 24, 30, 300_000
 #: Words that are worked on in one block of a chain.
 BLOCK = 32
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """The lower-cased runs of letters; numerals that count as word characters, such as ² and ½, part them."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
+
+
 def word_features(word: str) -> list[int]:
     """Hashed features: the word, prefixes and suffixes of 1 to 3 letters, n-grams of 2 and 3 with word ends."""
     grams = ["w" + word]
     for n in (1, 2, 3):
         grams += ["p" + word[:n], "s" + word[-n:]]
-    framed = f"^{word}$"[:40]
+    framed = f"^{word}$"
     grams += [framed[i : i + 2] for i in range(len(framed) - 1)]
     grams += ["3" + framed[i : i + 3] for i in range(len(framed) - 2)]
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for g in grams]
@@ -165,12 +181,11 @@ class Model:
         return self._table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))]
 
     def fit(self, samples: list[tuple[str, str]], seed: int = 7, rounds: int = ROUNDS) -> Model:
-        """Maximum likelihood with a small ridge; ``samples`` are (text, label)."""
+        """Maximum likelihood with a small ridge; ``samples`` are (piece of text, label)."""
         rnd = random.Random(seed)
-        pieces, budget = [], SAMPLE_WORDS
+        pieces = []
         for text, label in samples:
-            words = _WORD.findall(text.lower())[:budget]
-            budget -= len(words)
+            words = words_of(text)
             y = self.labels.index(label)
             pieces += [(words[i : i + PIECE], y) for i in range(0, len(words), PIECE)]
         if not pieces:
@@ -220,14 +235,14 @@ class Model:
         self.start, self.move = start, move
         return self
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
-        """(language, score, words, switches) of every text."""
-        words = [_WORD.findall(t.lower()) if t else [] for t in texts]
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, int, int]]:
+        """(language, score, certainty, words, switches) of every text."""
+        words = [words_of(t) for t in texts]
         if not self.labels:
-            return [("und", 0.0, len(w), 0) for w in words]
+            return [("und", 0.0, 0.0, len(w), 0) for w in words]
         lengths = np.array([len(w) for w in words])
         full = np.flatnonzero(lengths)
-        out = [("und", 0.0, 0, 0)] * len(texts)
+        out = [("und", 0.0, 0.0, 0, 0)] * len(texts)
         if not len(full):
             return out
         flat = [w for ws in words for w in ws]
@@ -235,42 +250,75 @@ class Model:
         at = np.concatenate([[0], np.cumsum(lengths[full])[:-1]])
         mean = np.add.reduceat(p, at, axis=0) / lengths[full][:, None]
         best, said = mean.argmax(1), p.argmax(1)
+        sure = np.add.reduceat(p.max(1), at) / lengths[full]
         turned = np.zeros(len(said), np.int64)
         turned[1:] = said[1:] != said[:-1]
         turned[at] = 0
         turns = np.add.reduceat(turned, at)
         for j, i in enumerate(full):
-            out[i] = (self.labels[best[j]], float(min(1.0, max(0.0, mean[j, best[j]]))), int(lengths[i]), int(turns[j]))
+            out[i] = (self.labels[best[j]], float(min(1.0, max(0.0, mean[j, best[j]]))), float(min(1.0, max(0.0, sure[j]))), int(lengths[i]), int(turns[j]))
         return out
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from at most ``sample_docs`` labelled documents, those with the smallest hash of their id."""
-    labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+def _pieces(most: int):
+    """(key, text, label) -> the label and up to ``most`` pieces of each text, those with the smallest hash."""
+
+    def run(batches):
+        for batch in batches:
+            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = words_of(text)
+                parts = [" ".join(words[i : i + PIECE]) for i in range(0, len(words), PIECE)]
+                chosen = sorted(range(len(parts)), key=lambda i: (zlib.crc32(f"{i} {parts[i]}".encode("utf-8", "surrogatepass")), i))[:most]
+                yield pa.RecordBatch.from_pydict({"piece": [parts[i] for i in sorted(chosen)], "label": [label] * len(chosen)}, schema=pa.schema([("piece", pa.string()), ("label", pa.string())]))
+
+    return released(run)
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_pieces: int = SAMPLE_PIECES) -> Model:
+    """A model from at most ``sample_docs`` labelled documents and ``sample_pieces`` pieces of each."""
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
+    rows = rows.where("id is not null and label is not null and text is not null")
+
+    def least(df: DataFrame, key: str):
+        return df.select(key).orderBy(key).limit(sample_docs).agg(F.max(key)).first()[0]
+
     # ids first: every task sends its smallest hashes, not its texts
-    last = labelled.select(F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    last = least(rows, "h")
     if last is None:
         return Model([])
-    rows = labelled.where(F.xxhash64(F.col(id_col)) <= last).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col)).alias("h"))
-    samples = [(r["text"], r["label"]) for r in sorted(rows.limit(2 * sample_docs).collect(), key=lambda r: (r["h"], r["text"], r["label"]))][:sample_docs]
+    # an id may have many rows: those of one hash of everything are the same row again, and of the others the smallest hashes count
+    chosen = cut(rows.where(F.col("h") <= last).select(F.xxhash64("h", "text", "label").alias("key"), "text", "label").dropDuplicates(["key"]), "sample")
+    chosen = chosen.where(F.col("key") <= least(chosen, "key"))
+    pieces = chosen.mapInArrow(_pieces(sample_pieces), "piece string, label string").collect()
+    samples = sorted((r["piece"], r["label"]) for r in pieces)
     return Model([x for x, _ in sorted(Counter(label for _, label in samples).items())]).fit(samples)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
-    """``lang_pred``, ``score``, ``n_words``, ``n_switches`` for every text, beside the id and the carried columns; no shuffle."""
-    held = docs.select(F.col(id_col), *[F.col(c) for c in carry], F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema[:-1])
+#: What ``identify`` adds.
+NAMES = ("lang_pred", "score", "certainty", "n_words", "n_switches")
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), names: tuple[str, ...] = NAMES) -> DataFrame:
+    """Language, score, certainty, words and switches of every text, under ``names``, beside the id and the carried columns; no shuffle."""
+    if clash := set(names) & {id_col, *carry}:
+        raise ValueError(f"carried columns named like results: {sorted(clash)}; give other names")
+    # a carried text is not sent twice
+    own = text_col not in carry or dict(docs.dtypes)[text_col] != "string"
+    held = bounded(docs).select(F.col(id_col), *[F.col(c) for c in carry], *[F.col(text_col).cast("string").alias("__text")] * own)
+    at = len(carry) + 1 if own else 1 + list(carry).index(text_col)
+    kept = held.schema[: len(carry) + 1]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    kinds, width = (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()), len(carry) + 1
 
     def run(batches):
         for batch in batches:
-            for i, j, _, _ in slices(batch.column(batch.num_columns - 1)):
+            for i, j, _, _ in slices(batch.column(at)):
                 part = batch.slice(i, j - i)
-                got = model.predict(part.column(part.num_columns - 1).to_pylist())
-                lang, score, n, turns = (list(x) for x in zip(*got, strict=True))
-                cols = [*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(turns, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names[:-1], "lang_pred", "score", "n_words", "n_switches"])
+                got = zip(*model.predict(part.column(at).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *[pa.array(list(x), kind) for x, kind in zip(got, kinds, strict=True)]], names=[*part.schema.names[:width], *names])
 
-    return held.mapInArrow(run, f"{schema}, lang_pred string, score double, n_words long, n_switches long")
+    added = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "double", "long", "long"), strict=True))
+    return held.mapInArrow(released(run), f"{schema}, {added}")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -281,4 +329,4 @@ def held_out(id_col: str = "doc_id"):
 def op2_lang_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = learn(docs.where(~held_out()))
-    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+    return identify(docs, model).select("doc_id", held_out().alias("held_out"), *NAMES)
