@@ -76,7 +76,7 @@ def personal_data_sql() -> str:
         "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
         "card": r"[0-9](?:[\x20-]?[0-9]){12,}",
         "phone": pii.PHONE,
-        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+        "iban": r"\b[A-Z]{2}[0-9]{2}",
         "idno": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     }
     digits = "regexp_replace(x.hit, '[^0-9]', '', 'g')"
@@ -90,16 +90,23 @@ def personal_data_sql() -> str:
         "ip": "len(list_filter(string_split(x.hit, '.'), lambda p: NOT regexp_matches(p, '^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$'))) = 0",
         "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn}",
         "phone": f"length({digits}) BETWEEN 8 AND 15",
-        "iban": f"length({code}) BETWEEN 15 AND 34 AND {mod97}",
+        "iban": mod97,
         "shortcard": f"length({digits}) BETWEEN 13 AND 15 AND {luhn}",
         "idno": "true",
     }
     near = "lower(substr(text, greatest(x.s - 48, 0) + 1, least(x.s, 48)) || ' ' || substr(text, x.e + 1, 48))"
     found = " UNION ALL ".join(
-        f"SELECT row, {place} AS place, '{k}' AS kind, x.s AS s, x.e AS e, CASE WHEN regexp_matches({near}, '{pii.CONTEXT[k][0]}') THEN CAST({pii.CONTEXT[k][2]} AS DOUBLE) ELSE CAST({pii.CONTEXT[k][1]} AS DOUBLE) END AS score FROM m_{'card' if k == 'shortcard' else k} WHERE {ok}"
+        f"SELECT row, {place} AS place, '{k}' AS kind, x.s AS s, x.e AS e, CASE WHEN regexp_matches({near}, '(?:^|[^a-z])(?:{pii.CONTEXT[k][0]})') THEN CAST({pii.CONTEXT[k][2]} AS DOUBLE) ELSE CAST({pii.CONTEXT[k][1]} AS DOUBLE) END AS score FROM m_{'card' if k == 'shortcard' else k} WHERE {ok}"
         for place, (k, ok) in enumerate(right.items())
     )
-    matched = ", ".join(f"m_{k} AS (SELECT row, text, unnest({spans(p)}) AS x FROM d)" for k, p in simple.items())
+    # account numbers: the head with what may follow it, cut where the country's length ends, if a word ends there
+    lengths = "MAP {" + ", ".join(f"'{c}': {n}" for c, n in pii.LENGTHS.items()) + "}"
+    part = "(x.hit || regexp_extract(substr(text, x.e + 1, 61), '^((?:\\x20?[A-Z0-9]){11,30})', 1))"
+    ends = "list_filter(range(15, length(part) + 1), lambda i: length(replace(substr(part, 1, CAST(i AS INTEGER)), ' ', '')) = n)[1]"
+    account = f"""heads AS (SELECT row, text, x, {part} AS part, {lengths}[x.hit[1:2]] AS n FROM (SELECT row, text, unnest({spans(simple['iban'])}) AS x FROM d)),
+tails AS (SELECT row, text, x.s AS s, part, CAST({ends} AS INTEGER) AS n FROM heads WHERE length(part) > 14),
+m_iban AS (SELECT row, text, {{'s': s, 'e': s + n, 'hit': substr(part, 1, n)}} AS x FROM tails WHERE n IS NOT NULL AND substr(part, n + 1, 1) IN ('', ' '))"""
+    matched = ", ".join(account if k == "iban" else f"m_{k} AS (SELECT row, text, unnest({spans(p)}) AS x FROM d)" for k, p in simple.items())
     base, added = ["email", "ip", "card", "phone"], ["iban", "shortcard", "idno"]
     text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY place, s)"
     counts = ", ".join(f"CAST(count(*) FILTER (WHERE kind = '{k}') AS BIGINT) AS n_{k}" for k in base + added)

@@ -29,7 +29,7 @@ KINDS = {
     "hex": (r"[0-9a-f]{16,}+", 0, 16),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 28),
     "pem": (r"-----BEGIN\x20(?:[A-Z]+\x20){0,3}PRIVATE\x20KEY-----", 0, 20),
-    "url": (r"[a-z][a-z0-9+]{1,12}://[^\x20\x09-\x0D:@/]{1,64}:([^\x20\x09-\x0D:@/]{4,128})@", 1, 4),
+    "url": (r"[a-z][a-z0-9+]{1,12}://[^\x20\x09-\x0D:@/]++:([^\x20\x09-\x0D:@/]{4,}+)@", 1, 4),
 }
 BASE, ADDED = ("assign", "access", "hex"), ("jwt", "pem", "url")
 #: Owners from which on a value is a copied example; distinct characters from which on it looks random.
@@ -48,10 +48,12 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     values = d.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("x")).select("row", "owner", "repo", F.col("x.value").alias("value"), F.col("x.kinds_of_characters").alias("characters"))
     values = values.distinct()
     nobody = F.lit("\x00")
+    # counts are a table of their own, so that a very common value's rows may be dealt to several tasks
     held = values.groupBy("value").agg(
         F.count_distinct(F.coalesce("owner", nobody)).alias("owners"),
         F.count_distinct(F.coalesce("repo", nobody)).alias("repos"),
     )
+    held = cut(held, "ownership")
     judged = values.join(held, "value").select("row", "owners", "repos", (F.col("owners") >= COPIED_OWNERS).alias("copied"), ((F.col("owners") == 1) & (F.col("repos") <= 2) & (F.col("characters") >= RANDOM_CHARACTERS)).alias("live"))
     per_row = judged.groupBy("row").agg(F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied"), F.max("owners").alias("max_owners"))
     text = lambda c: f"array_join(transform({c}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
@@ -68,4 +70,5 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
+    """All documents. They name no repository or owner finer than their source, which stands for both, so ownership is counted once here."""
     return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
