@@ -9,8 +9,11 @@ bits are close enough are verified by cosine in double precision.
 A crowded cell (over ``CROWD`` vectors) names a hub, its smallest id. Vectors
 within half the threshold angle of a hub form its ball: any two of them are
 linked, by the triangle inequality of angles, so a ball of any size costs one
-comparison for each member. Balls then meet other vectors and balls as one
-entry each, and are only spelled out where a link outside the ball is possible.
+comparison for each member. What is left may still crowd a cell and names hubs
+again, for a few rounds. Balls then meet other vectors and balls as one entry
+each. Only vectors within one and a half threshold angles of a ball's hub can be
+linked with a member; these meet the members in blocks, of which counts and one
+edge to the ball come out, never the pairs.
 
 Results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; vectors of different lengths never meet. Rows
@@ -28,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.stages import components, cut
-from pulsegrid.llm.textops import mix
+from pulsegrid.llm.textops import mix, released
 
 #: Tables, 8-dimensional blocks in each, scale of the projection in lattice units, neighbouring cells probed, vectors above which a cell is crowded.
 TABLES, BLOCKS, SCALE, PROBES, CROWD = 14, 3, 1.1, 4, 48
-#: Vectors that are worked on at once.
-ROWS = 2048
+#: Vectors that are worked on at once, vectors of a block, and rounds in which crowded cells name hubs.
+ROWS, BLOCK, HUB_ROUNDS = 2048, 512, 3
 
 
 def _roots() -> np.ndarray:
@@ -165,6 +168,26 @@ def _with_cosine(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "unit_a", "unit_b").mapInArrow(_cosines, "a long, b long, cosine double")
 
 
+def _block_links(threshold: float):
+    """Blocks of vectors (us) and of a ball's members (ws): how many of the others each is linked with, and for us the ball, if any."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                us, ws = batch.column("us")[row].values, batch.column("ws")[row].values
+                (u, x), (w, y) = ((z.field("vec_id").to_numpy(), np.frombuffer(b"".join(z.field("unit").to_pylist()), np.float64).reshape(len(z), -1)) for z in (us, ws))
+                cosine = x @ y.T
+                hit = cosine >= threshold
+                for i, j in zip(*np.nonzero(np.abs(cosine - threshold) < 1e-9), strict=True):  # as a pair by itself is judged
+                    hit[i, j] = (x[i] * y[j]).sum() / math.sqrt((x[i] * x[i]).sum() * (y[j] * y[j]).sum()) >= threshold
+                n_u, n_w = hit.sum(1), hit.sum(0)
+                a, b = np.flatnonzero(n_u), np.flatnonzero(n_w)
+                ball = pa.array([batch.column("ball")[row].as_py()] * len(a) + [None] * len(b), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u[a], w[b]])), pa.array(np.concatenate([n_u[a], n_w[b]]).astype(np.int64)), ball], names=["vec_id", "n", "ball"])
+
+    return released(run)
+
+
 def _most_bits(angle: float) -> int:
     """Sign bits of 128 that may differ at an angle: the mean and 4.5 deviations."""
     p = min(angle / math.pi, 0.5)
@@ -178,11 +201,21 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     theta = math.acos(threshold)
 
     # balls: a third of all rows may crowd into one cell; it costs each of them one comparison with the hub
-    own = hashed.select("vec_id", F.explode("own").alias("cell"))
-    crowds = own.groupBy("cell").agg(F.count("*").alias("n"), F.min("vec_id").alias("hub")).where(F.col("n") > CROWD).select("cell", "hub")
-    asked = own.join(crowds, "cell").select(F.col("vec_id").alias("a"), F.col("hub").alias("b")).distinct()
-    near_hub = _with_cosine(asked, hashed).where(F.col("cosine") >= math.cos(theta / 2) + 1e-9)
-    balls = cut(near_hub.groupBy(F.col("a").alias("vec_id")).agg(F.min("b").alias("ball")), "balls")
+    balls = None
+    for _ in range(HUB_ROUNDS):
+        free = hashed if balls is None else hashed.join(balls, "vec_id", "left_anti")
+        own = free.select("vec_id", F.explode("own").alias("cell"))
+        crowds = cut(own.groupBy("cell").agg(F.count("*").alias("n"), F.min("vec_id").alias("hub")).where(F.col("n") > CROWD).select("cell", "hub"), "crowds")
+        if crowds.isEmpty():
+            break
+        asked = own.join(crowds, "cell").select(F.col("vec_id").alias("a"), F.col("hub").alias("b")).distinct()
+        near_hub = _with_cosine(asked, hashed).where(F.col("cosine") >= math.cos(theta / 2) + 1e-9)
+        found = cut(near_hub.groupBy(F.col("a").alias("vec_id")).agg(F.min("b").alias("ball")), "balls")
+        # a hub by itself is no ball
+        found = found.join(found.groupBy("ball").count().where("count > 1"), "ball", "left_semi").select("vec_id", "ball")
+        balls = cut(found if balls is None else balls.union(found), "balls")
+    if balls is None:
+        balls = hashed.select("vec_id", F.col("vec_id").alias("ball")).where("false")
     tagged = hashed.join(balls, "vec_id", "left")
     sizes = balls.groupBy("ball").agg(F.count("*").alias("size"))
 
@@ -204,24 +237,30 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     )
     met = cut(met.select(F.col("p.e").alias("a"), F.col("p.r").alias("round_a"), F.col("q.e").alias("b"), F.col("q.r").alias("round_b")), "met")
     plain = met.where("round_a + round_b = 0").select("a", "b")
-    # where a ball is involved, its hub decides whether any member can be linked
-    wide = met.where("round_a + round_b > 0")
-    apart = _with_cosine(wide.where("a != b").select("a", "b").distinct(), hashed)
-    reach = F.when(F.col("round_a") + F.col("round_b") == 1, F.lit(math.cos(min(1.5 * theta, math.pi)) - 1e-9)).otherwise(F.lit(math.cos(min(2 * theta, math.pi)) - 1e-9))
-    open_pairs = wide.join(apart, ["a", "b"], "left").where(F.col("cosine").isNull() | (F.col("cosine") >= reach))
-    member = balls.select(F.col("ball"), F.col("vec_id").alias("member"))
-    spelled = (
-        open_pairs.join(member.withColumnsRenamed({"ball": "a", "member": "m_a"}), "a", "left")
-        .join(member.withColumnsRenamed({"ball": "b", "member": "m_b"}), "b", "left")
-        .select(F.when(F.col("round_a") == 1, F.col("m_a")).otherwise(F.col("a")).alias("u"), F.when(F.col("round_b") == 1, F.col("m_b")).otherwise(F.col("b")).alias("w"), "round_a", "round_b")
-        .select(F.when((F.col("round_a") == 0) | (F.col("round_b") == 0) | (F.col("u") != F.col("w")), F.least("u", "w")).alias("a"), F.greatest("u", "w").alias("b"))
-        .where("a != b")
-    )
-    candidates = plain.union(spelled.distinct())
-    links = cut(_with_cosine(candidates, hashed).where(F.col("cosine") >= threshold).select("a", "b").distinct(), "links")
-    edges = links.union(balls.select(F.col("ball").alias("a"), F.col("vec_id").alias("b")))
-    outside = links.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count("*").alias("n"))
-    # a hub that sits in another ball is itself linked with its own ball's members; links holds those pairs
+    # where a ball is involved, its hub decides who can be linked with any member; a hub may itself sit in another ball
+    wide = met.where("round_a + round_b > 0").select(F.expr("if(round_b = 1, b, a)").alias("ball"), F.expr("if(round_b = 1, a, b)").alias("entry"), F.expr("if(round_b = 1, round_a, round_b)").alias("round"))
+    housed = balls.join(balls.select(F.col("ball").alias("vec_id")).distinct(), "vec_id", "left_semi").where("vec_id != ball")
+    # each two balls once, whichever way they met
+    both = wide.where("round = 1").select("ball", "entry").union(housed.select(F.col("vec_id").alias("ball"), F.col("ball").alias("entry")))
+    both = both.select(F.greatest("ball", "entry").alias("ball"), F.least("ball", "entry").alias("entry")).where("ball != entry").distinct()
+    member = balls.select(F.col("ball").alias("entry"), F.col("vec_id").alias("a"))
+    guests = wide.where("round = 0").select(F.col("entry").alias("a"), F.col("ball").alias("b")).union(both.join(member, "entry").select("a", F.col("ball").alias("b"))).distinct()
+    guests = cut(_with_cosine(guests, hashed).where(F.col("cosine") >= math.cos(min(1.5 * theta, math.pi)) - 1e-9).select(F.col("b").alias("ball"), F.col("a").alias("vec_id")), "guests")
+    units = hashed.select("vec_id", "unit", F.octet_length("unit").alias("size")).dropDuplicates(["vec_id", "size"])
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        count = rows.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        rows = rows.join(count, "ball").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks")).join(units, "vec_id")
+        return rows.groupBy("ball", "size", F.col("block").alias(f"block_{name}")).agg(F.collect_list(F.struct("vec_id", "unit")).alias(name))
+
+    hosts = balls.join(guests.select("ball").distinct(), "ball", "left_semi")
+    told = blocks(guests, "us").join(blocks(hosts, "ws"), ["ball", "size"]).select("ball", "us", "ws")
+    told = cut(told.mapInArrow(_block_links(threshold), "vec_id long, n long, ball long").groupBy("vec_id", "ball").agg(F.sum("n").alias("n")), "told")
+    links = cut(_with_cosine(plain, hashed).where(F.col("cosine") >= threshold).select("a", "b").distinct(), "links")
+    edges = links.union(balls.select(F.col("ball").alias("a"), F.col("vec_id").alias("b"))).union(told.where("ball is not null").select(F.col("ball").alias("a"), F.col("vec_id").alias("b")))
+    outside = links.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count("*").alias("n")).union(told.groupBy("vec_id").agg(F.sum("n").alias("n")))
+    outside = outside.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    # a hub that sits in another ball meets its own ball's members as a guest
     inside = balls.join(sizes, "ball").select("vec_id", (F.col("size") - 1).alias("m"))
     labels = components(edges).withColumnRenamed("id", "vec_id")
     out = given.select("vec_id").join(outside, "vec_id", "left").join(inside, "vec_id", "left").join(labels, "vec_id", "left")
