@@ -35,7 +35,7 @@ from pulsegrid.llm.stages import cut
 from pulsegrid.llm.textops import mix, slices, words
 
 #: Weights of the sources in order, repeating; words wanted as a share of all; most times a source is used over; documents in a block; smallest documents of a block that are left for the landing.
-WEIGHTS, SHARE, MOST, BLOCK_ROWS, KEPT = (5, 2, 1), 1.5, 2.0, 20_000, 64
+WEIGHTS, SHARE, MOST, BLOCK_ROWS, KEPT = (5, 2, 1), 1.5, 2.0, 4096, 64
 
 
 def _sizes(batches):
@@ -162,9 +162,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     goals = goals.select("s", "source_size", "target", "rows", whole.alias("base"), F.greatest(times - whole, F.lit(0.0)).alias("p"))
     joined = sized.join(goals, sized["source"].eqNullSafe(goals["s"])).drop("s")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS)
-    rows = joined.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks).cast("long")).drop("rows")
+    rows = joined.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(5)), blocks).cast("long")).drop("rows")
     schema = "doc_id long, source string, size long, source_size long, target double, base long, p double, block long"
     rows = rows.select(*[x.split()[0] for x in schema.split(", ")])
+    # an empty text takes no words either way, so it is not drawn
+    rows = rows.withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(F.lit(0.0)))
     decided, undecided = rows.where("p <= 0"), rows.where("p > 0")
     state = cut(undecided.groupBy("source", "block").applyInArrow(_decide(False), schema), "flight")
     open_ = "p > 0 and p < 1"
@@ -175,7 +177,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not most_left:
             break
         if most_left > BLOCK_ROWS:
-            again = left.withColumn("block", F.pmod(F.xxhash64("doc_id", "block"), F.lit(-(-most_left // BLOCK_ROWS))))
+            again = left.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "block"), F.lit(-(-most_left // BLOCK_ROWS))))
             state = cut(again.select(*rows.columns).groupBy("source", "block").applyInArrow(_decide(False), schema), "flight")
         else:
             state = cut(left.withColumn("block", F.lit(-1).cast("long")).groupBy("source", "block").applyInArrow(_decide(True), schema), "landing")
