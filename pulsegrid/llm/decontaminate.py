@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words in a window, share of an item's windows that must be covered, most placeholders in a window that meets as a template, and most windows that are broadcast.
-WINDOW, COVERED, MOST_SLOTS, BROADCAST_WINDOWS = 8, 0.5, 4, 200_000
+WINDOW, COVERED, MOST_SLOTS, BROADCAST_WINDOWS = 8, 0.5, 4, 50_000
 
 PLACEHOLDERS = "'<n>', '<u>', '<p>'"
 

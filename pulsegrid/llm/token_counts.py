@@ -7,7 +7,9 @@ Words are then counted on their own: proved ones are one token, and only the
 rest is merged by the library, once per distinct word. A model without these
 properties, and a tokenizers file, is counted by the library on whole texts.
 
-Results: a null or empty text has 0 bytes and 0 tokens.
+Results: a null or empty text has 0 bytes and 0 tokens. Rows are counted one by one,
+so repeated rows and equal or null ids are each returned; an empty table gives an
+empty result, other columns are not read. The proof is made once by each worker.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.textops import slices
+from pulsegrid.llm.stages import bounded
+from pulsegrid.llm.textops import HELD, released, slices
 
 #: Distinct words that a worker remembers besides the proved ones, and the longest of them.
 REMEMBERED, LONGEST = 400_000, 64
@@ -25,15 +28,19 @@ MARK = "▁"
 
 
 class _Words(dict):
-    def __init__(self, count, most: int = REMEMBERED):
-        super().__init__()
-        self.count, self.most = count, most
+    """Tokens by word: the proved ones always, and others within a bound."""
+
+    def __init__(self, count, proved: dict[str, int] | None = None):
+        self.proved = proved or {}
+        super().__init__(self.proved)
+        self.count, self.most = count, REMEMBERED + len(self.proved)
 
     def __missing__(self, word: str) -> int:
         n = self.count(word)
         if len(word) <= LONGEST:
             if len(self) >= self.most:
                 self.clear()
+                self.update(self.proved)
             self[word] = n
         return n
 
@@ -70,9 +77,7 @@ class PieceCounter:
 
     @staticmethod
     def _proved(words: _Words) -> _Words:
-        kept = _Words(words.count, REMEMBERED + len(words))
-        kept.update((w, n) for w, n in words.items() if n == 1)
-        return kept
+        return _Words(words.count, {w: n for w, n in words.items() if n == 1})
 
     def __call__(self, text: str) -> int:
         if not text:
@@ -129,6 +134,7 @@ class LibraryCounter:
 
 
 _counters: dict = {}
+HELD["counters"] = _counters.clear
 
 
 def counter(path: str):
@@ -148,12 +154,12 @@ def _counted(path: str, limit: int):
                 n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], n_bytes, n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return run
+    return released(run, "counters")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every text; one pass, no shuffle."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
     return texts.mapInArrow(_counted(tokenizer, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
