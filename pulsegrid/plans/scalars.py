@@ -263,3 +263,32 @@ def ai_cosine_nearest(spark, sf):
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     s = e.select("vec_id", "v").crossJoin(F.broadcast(c)).select("vec_id", "label", (dot("v", "c") / F.sqrt(dot("c", "c")) / F.sqrt(dot("v", "v"))).alias("cos"))
     return s.groupBy("vec_id").agg(F.max_by("label", "cos").alias("nearest"), F.round(F.max("cos"), 5).alias("similarity"), F.round(1 - F.max("cos"), 5).alias("novelty"))
+
+
+@query("SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders WHERE date_trunc('month', o_orderdate) < DATE '2001-08-01'")
+def fn_complete_months(spark, sf):
+    """Months that have records and are over by the day of the analysis."""
+    from pulsegrid.sources.tables import AS_OF
+
+    month = F.trunc("o_orderdate", "MM")
+    return read(spark, sf, "orders").where(month < F.trunc(F.lit(AS_OF), "MM")).select(month.alias("month")).distinct()
+
+
+#: Buckets that words are hashed into.
+BUCKETS = 64
+HEX = "(instr('0123456789abcdef', substr(md5(w), {0}, 1)) - 1)"
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, list_transform(list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), lambda w: ({HEX.format(1)} * 16 + {HEX.format(2)}) % {BUCKETS}) AS b FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, list_transform(range({BUCKETS}), lambda k: CAST(len(list_filter(b, lambda x: x = k)) AS DOUBLE)) AS v FROM w)
+SELECT doc_id, list_position(v, list_max(v)) AS strongest, round(list_max(v) / nullif(sqrt(list_sum(list_transform(v, lambda x: x * x))), 0), 6) AS weight, len(list_filter(v, lambda x: x > 0)) AS filled FROM v"""
+)
+def ai_embed(spark, sf):
+    """Unit vectors of word counts in hashed buckets: the strongest component, its weight, and how many are filled."""
+    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    bucket = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % BUCKETS))
+    d = read(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(F.array(bucket)).alias("b"))
+    v = d.select("doc_id", F.explode(F.array(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.size(F.filter("b", lambda x: x == k)).cast("double")))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+    return v.select("doc_id", F.array_position("v", F.array_max("v")).cast("int").alias("strongest"), r6(F.array_max("v") / F.nullif(norm, F.lit(0.0)), "weight"), F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("filled"))
