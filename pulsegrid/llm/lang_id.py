@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.stages import bounded, cut
-from pulsegrid.llm.textops import released, slices
+from pulsegrid.llm.textops import SLICE_BYTES, released, slices
 
 #: Documents to learn from, pieces of each, hashed features, words in a piece, steps, and words a worker remembers.
 SAMPLE_DOCS, SAMPLE_PIECES, BUCKETS, PIECE, ROUNDS, REMEMBERED = 1200, 24, 1 << 17, 24, 30, 300_000
@@ -312,7 +312,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            for i, j, _, _ in slices(batch.column(at)):
+            for i, j, _, _ in slices(batch.column(at), SLICE_BYTES >> 2):
                 part = batch.slice(i, j - i)
                 got = zip(*model.predict(part.column(at).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *[pa.array(list(x), kind) for x, kind in zip(got, kinds, strict=True)]], names=[*part.schema.names[:width], *names])

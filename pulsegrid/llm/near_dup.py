@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.stages import components, cut, merged
+from pulsegrid.llm.stages import components, cut, free, merged, scope
 from pulsegrid.llm.textops import SLICE_BYTES, mix, released, shingle_sets, slices
 
 #: Minwise tokens kept per document, trees (each starts from its own token), levels, and branches at each level below the first.
@@ -235,7 +235,7 @@ def _block_pairs(percent: int):
                     p, q = i[at : at + 8192], j[at : at + 8192]
                     ok = _plausible(x[p], y[q], n_u[p], n_w[q], percent)
                     p, q = p[ok], q[ok]
-                    ok = _plausible(fine_x[p], fine_y[q], n_u[p], n_w[q], percent)
+                    ok = np.concatenate([_plausible(fine_x[p[z : z + 1024]], fine_y[q[z : z + 1024]], n_u[p[z : z + 1024]], n_w[q[z : z + 1024]], percent) for z in range(0, max(len(p), 1), 1024)])
                     a, b = u[p[ok]], w[q[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -339,8 +339,20 @@ def _met(us: DataFrame, ws: DataFrame, labels: DataFrame, reps: DataFrame, texts
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, set_id of ``docs``: links at 100 * intersection >= percent * union.
 
-    ``set_id`` names the class of equal sets: the smallest id in it.
+    ``set_id`` names the class of equal sets: the smallest id in it. The tables
+    written on the way are removed, but for the two that the result is read from.
     """
+    with scope() as written:
+        rows, classes = _classed(docs, id_col, text_col, k, percent)
+        free(*(t for t in written if t is not rows and t is not classes))
+    out = rows.where("n_shingles > 0 and doc_id is not null").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "component_id", "set_id")
+    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("set_id"))
+    out = out.union(alone)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "set_id")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's set, and every set's class and component, as tables."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(texts.mapInArrow(_signatures(k), "doc_id long, n_shingles long, k1 long, k2 long, pool binary, sketch binary, wide binary"), "signed")
     linked = signed.where("n_shingles > 0 and doc_id is not null")
@@ -372,7 +384,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if rest.isEmpty():
             break
         chosen = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-        tokens = chosen.mapInArrow(_level_tokens(k, level), "rep long, tokens binary")
+        # a table, so that a task never runs two Python workers at once
+        tokens = cut(chosen.mapInArrow(_level_tokens(k, level), "rep long, tokens binary"), "tokens")
         sized = _sized(cut(rest.join(tokens, "rep").mapInArrow(_next_nodes(level), "node long, path int, rep long"), "nodes"))
     else:
         leaves = leaves.union(_leaf(sized))
@@ -402,10 +415,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not open_pairs.isEmpty():
         labels = merged(labels, _verified(texts, open_pairs, k, percent))
     classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.col("n").alias("n_shingles"), F.col("rep").alias("set_id"), F.coalesce("component", "rep").alias("component_id"))
-    out = linked.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "component_id", "set_id")
-    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("set_id"))
-    out = out.union(alone)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "set_id")
+    return cut(signed.select("doc_id", "n_shingles", "k1", "k2"), "rows"), cut(classes, "classes")
 
 
 def op1_near_dup(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,19 +25,46 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+#: Bytes of an Arrow batch: what goes to a Python worker at once, and stays with the JVM's buffers.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; its session from now on sends small Arrow batches, unless it was told a size of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, None) in ("67108864b", "67108864", "64m", "64MB"):
+        conf.set(BATCH, "4m")
+    return df
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/pulsegrid/{uuid.uuid4().hex}/{name}"
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: it survives lost executors and is computed once."""
-    path = new_folder(df.sparkSession, name)
+    path = new_folder(bounded(df).sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope():
+    """The tables that ``cut`` writes meanwhile, so that all but a result's own may be removed at the end."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
 def free(*frames: DataFrame) -> None:
     """Removes tables that ``cut`` wrote, once all that is made of them is a table itself."""
     for df in frames:

@@ -32,10 +32,20 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return z ^ (z >> U64(31))
 
 
-def released(run):
-    """``run`` over Arrow batches; what it held goes back to the system at its end, as workers live on between tasks."""
+#: What a worker keeps from task to task, by name: how to let go of it.
+HELD: dict = {}
+
+
+def released(run, own: str | None = None):
+    """``run`` over Arrow batches; what it held goes back to the system at its end, as workers live on between tasks.
+
+    Whatever other operators keep in this worker is let go of first, but for what is called ``own``.
+    """
 
     def again(batches):
+        for name, forget in HELD.items():
+            if name != own:
+                forget()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -14,6 +14,8 @@ ids keep one row each, ordered by their token ids; null document ids come first.
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import zlib
 from unicodedata import is_normalized
@@ -24,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.stages import cut, new_folder
-from pulsegrid.llm.textops import slices
+from pulsegrid.llm.stages import bounded, cut, free, new_folder
+from pulsegrid.llm.textops import HELD, released, slices
 
 #: Longest code in bits, ids between two checkpoints, ids in a block (a longer document has a block of its own).
 MAX_BITS, STEP, BLOCK_IDS = 18, 64, 1 << 18
@@ -63,7 +65,7 @@ class Chunks:
     _MARKS = ".,;:!?*&$#%)\"]}-_/\\|+=~^`@"
     _known: dict[tuple[str, str], Chunks] = {}
 
-    def __init__(self, path: str, kind: str, most: int = 1_000_000):
+    def __init__(self, path: str, kind: str, most: int = 500_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.ids: dict[str, bytes] = {"": b""}
@@ -95,8 +97,10 @@ class Chunks:
         if not new:
             return
         if len(known) + len(new) > self.most:
+            # what came first comes often: the first half stays
+            kept = dict(itertools.islice(known.items(), self.most // 2))
             known.clear()
-            known[""] = b""
+            known.update(kept)
             new = chunks.difference(known)
         words, marked = set(), []
         for c in new:
@@ -132,6 +136,9 @@ class Chunks:
             self.ids.update((w, self.alone(w)) for w in words)
 
 
+HELD["chunks"] = Chunks._known.clear
+
+
 def _lowered(text: str) -> str:
     """The text with A-Z lowered, where a tokenizer that composes and lowers can't tell the difference."""
     low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -140,8 +147,55 @@ def _lowered(text: str) -> str:
     return low
 
 
+def splits(tokenizer: str) -> bool:
+    """Whether the tokenizer drops white space before anything else and never joins across it, read from its file and tried.
+
+    Its first step must split at white space, or keep only what a pattern matches
+    that can match none; its normalizer may only compose, lower and rewrite white
+    space; no added token may hold or strip white space.
+    """
+    from tokenizers import Tokenizer
+
+    with open(tokenizer, encoding="utf-8") as f:
+        told = json.load(f)
+    steps = lambda part: [] if part is None else [x for y in part.get("normalizers", part.get("pretokenizers", [])) for x in steps(y)] if part["type"] == "Sequence" else [part]
+    first = steps(told.get("pre_tokenizer"))[:1]
+    plain = all(x["type"] in ("NFC", "Lowercase") or x == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} for x in steps(told.get("normalizer")))
+    added = any(x["lstrip"] or x["rstrip"] or x["content"] != "".join(x["content"].split()) for x in told.get("added_tokens", []))
+    if not first or not plain or added:
+        return False
+    if first[0]["type"] == "Split":
+        # beside negated classes that rule white space out, nothing in the pattern may match it
+        rest = re.sub(r"\[\^[^\]]*\\s[^\]]*\]", "", first[0]["pattern"].get("Regex", "."))
+        if first[0]["behavior"] != "Removed" or not first[0]["invert"] or re.search(r"\.|\s|\\[sSWDPnrtvf]|\[\^", rest):
+            return False
+    elif first[0]["type"] not in ("WhitespaceSplit", "BertPreTokenizer", "Whitespace"):
+        return False
+    library = Tokenizer.from_file(tokenizer)
+    ids = lambda t: library.encode(t, add_special_tokens=False).ids
+    parts = ["the", "Zebra's", "1,234.5", "naïve", "###", "a_b", "x", "…", "中文", "😀", "<s>"]
+    return all(ids(gap.join(parts)) == [i for p in parts for i in ids(p)] for gap in (" ", "\n", "\t", "\r", "  \n ")) and ids(" \n\t ") == []
+
+
+def _encode_whole(path: str, end_id: int, kind: str):
+    """Whole texts by the library, for a tokenizer whose texts may not be split."""
+
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        for batch in batches:
+            for i, j, _, _ in slices(batch.column(1)):
+                got = library.encode_batch([t or "" for t in batch.column(1)[i:j].to_pylist()], add_special_tokens=False)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([np.array([*e.ids, end_id], kind).tobytes() for e in got], pa.binary())], names=["doc_id", "ids"])
+
+    return released(run)
+
+
 def _encode(path: str, end_id: int, kind: str, lowers: bool):
-    """Splitting at spaces, tabs and line ends is exact for a tokenizer that drops white space and never joins across it."""
+    """Chunks between spaces, tabs and line ends one by one, for a tokenizer that ``splits``."""
 
     def run(batches):
         chunks = Chunks.of(path, kind)
@@ -157,7 +211,7 @@ def _encode(path: str, end_id: int, kind: str, lowers: bool):
                 ids = [b"".join(map(at, p)) + end for p in parts]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return run
+    return released(run, "chunks")
 
 
 def _flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +230,7 @@ def _count(kind: str):
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    return run
+    return released(run)
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -294,7 +348,7 @@ def _blocks(lengths: np.ndarray, kind: str):
         if n:
             yield flush()
 
-    return run
+    return released(run)
 
 
 #: Stands for a null document id in a block.
@@ -323,7 +377,7 @@ def _decoded(lengths: np.ndarray, with_ids: bool):
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return run
+    return released(run)
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -333,7 +387,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2
     kind = id_type(tokenizer)
     if end_id >= 1 << (8 * np.dtype(kind).itemsize):
         kind = "<u4"
-    staged = cut(texts.mapInArrow(_encode(tokenizer, end_id, kind, lowers(tokenizer)), "doc_id long, ids binary"), "ids")
+    encode = _encode(tokenizer, end_id, kind, lowers(tokenizer)) if splits(tokenizer) else _encode_whole(tokenizer, end_id, kind)
+    staged = cut(texts.mapInArrow(encode, "doc_id long, ids binary"), "ids")
     # at most a row for each id of the vocabulary comes to the driver
     counted = staged.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max((r["id"] for r in counted), default=0), np.int64)
@@ -341,8 +396,11 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
     spark.createDataFrame([(int(i), int(lengths[i]), int(counts[i])) for i in np.flatnonzero(lengths)], "id long, bits int, n long").coalesce(1).write.parquet(f"{path}/code")
-    ordered = staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows of one id, null included, may be many: among them the hash of the ids decides
+    place = F.xxhash64("ids")
+    ordered = staged.repartitionByRange("doc_id", place).sortWithinPartitions("doc_id", place, "ids")
     ordered.mapInArrow(_blocks(lengths, kind), BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    free(staged)
 
 
 def read_token_file(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -356,7 +414,7 @@ def read_token_file(spark: SparkSession, path: str, with_ids: bool = False) -> D
     sums = [(r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()]
     before = np.concatenate([[0], np.cumsum([n for _, n in sums])]).astype(int).tolist()
     starts = spark.createDataFrame([(p, b) for (p, _), b in zip(sums, before, strict=False)], "part int, before long")
-    rows = blocks.mapInArrow(_decoded(lengths, with_ids), "doc_id long, part int, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    rows = bounded(blocks).mapInArrow(_decoded(lengths, with_ids), "doc_id long, part int, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
