@@ -26,6 +26,12 @@ def r6(c, name=None):
     return F.round(c, 6).alias(name or (c if isinstance(c, str) else "v"))
 
 
+def corr(a: str, b: str):
+    """The correlation as SQL has it: NaN where either is constant. Spark's own divides by zero there, even within ``when``."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0)))
+
+
 @query("SELECT id, month, record_type FROM records WHERE published_at >= TIMESTAMP '2000-01-01'")
 def flt_base_records(spark, sf):
     return records(spark, sf).where(F.col("published_at") >= F.lit("2000-01-01").cast("timestamp_ntz")).select("id", "month", "record_type")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import text as X
 from pulsegrid.operators import cohort as C
-from pulsegrid.plans.activity import r6, topic_series, topic_source
+from pulsegrid.plans.activity import corr, r6, topic_series, topic_source
 from pulsegrid.plans.series import FEATURES, topic_features
 from pulsegrid.plans.store import TREND, day
 from pulsegrid.sources.tables import PRELUDE, RECORD_TYPES, read, record_orgs, record_topics, records
@@ -235,11 +235,15 @@ def ev_window(spark, sf):
 
 @query(FEATURES + ", r AS (SELECT rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2.0 AS ra, rank() OVER (ORDER BY round(confidence, 9)) + (count(*) OVER (PARTITION BY round(confidence, 9)) - 1) / 2.0 AS rb FROM conf) SELECT round(corr(ra, rb), 6) AS spearman, corr(ra, rb) > 0 AS ok, count(*) AS topics FROM r")
 def ev_lowsample(spark, sf):
-    """Whether confidence is lower where there are fewer records: the rank correlation of both."""
+    """Whether confidence is lower where there are fewer records: the rank correlation of both.
+
+    Topics without a confidence rank last. Where all topics rank alike the correlation is
+    NaN, as in SQL, and NaN is above 0; without topics it is null.
+    """
     f = topic_features(spark, sf).select("c", "total", F.round("confidence", 9).alias("confidence"))
-    rank = lambda k: (F.rank().over(W.partitionBy("c").orderBy(k)) + (F.count("*").over(W.partitionBy("c", k)) - 1) / 2).cast("double")
+    rank = lambda k: (F.rank().over(W.partitionBy("c").orderBy(F.asc_nulls_last(k))) + (F.count("*").over(W.partitionBy("c", k)) - 1) / 2).cast("double")
     r = f.select(rank("total").alias("ra"), rank("confidence").alias("rb"))
-    return r.agg(r6(F.corr("ra", "rb"), "spearman"), (F.corr("ra", "rb") > 0).alias("ok"), F.count("*").alias("topics"))
+    return r.agg(r6(corr("ra", "rb"), "spearman"), (corr("ra", "rb") > 0).alias("ok"), F.count("*").alias("topics"))
 
 
 @query(FEATURES + f" SELECT topic, round({' + '.join(f'{w} * p_{n}' for n, w in TREND.items())}, 6) AS score, {RANK_SQL} AS pos FROM p")
@@ -258,7 +262,7 @@ def m_rank_stability(spark, sf):
 
     x = two_scores(spark, sf).withColumn("c", F.lit(1))
     r = x.select(*[F.row_number().over(W.partitionBy("c").orderBy(F.desc(k), "topic")).cast("double").alias(f"r{k}") for k in ("a", "b")])
-    return r.agg(r6(F.corr("ra", "rb"), "spearman"), r6(F.count_if((F.col("ra") <= 3) & (F.col("rb") <= 3)) / 3.0, "overlap"))
+    return r.agg(r6(corr("ra", "rb"), "spearman"), r6(F.count_if((F.col("ra") <= 3) & (F.col("rb") <= 3)) / 3.0, "overlap"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import forecast as P
-from pulsegrid.plans.activity import r6, topic_series
+from pulsegrid.plans.activity import corr, r6, topic_series
 from pulsegrid.sources.tables import PRELUDE
 
 QUERIES: dict = {}
@@ -125,8 +125,7 @@ def m_spearman(spark, sf):
     x = two_scores(spark, sf).withColumn("c", F.lit(1))
     rank = lambda k: (F.rank().over(W.partitionBy("c").orderBy(k)) + (F.count("*").over(W.partitionBy("c", k)) - 1) / 2).cast("double")
     r = x.select(rank("a").alias("ra"), rank("b").alias("rb"))
-    flat = (F.min("ra") == F.max("ra")) | (F.min("rb") == F.max("rb"))
-    return r.agg(F.when(~flat, F.round(F.corr("ra", "rb"), 6)).alias("spearman"))
+    return r.agg(r6(corr("ra", "rb"), "spearman"))
 
 
 @query(

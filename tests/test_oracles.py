@@ -44,6 +44,35 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert ordered(df.select(*cols).collect()) == ordered(want.fetchall())
 
 
+#: Topics and the last moment of the orders that they are linked with.
+ODD_TOPICS = {
+    "one": {"A": "2100-01-01"},
+    "alike": {"A": "2100-01-01", "B": "2100-01-01"},
+    "one is old": {"A": "2100-01-01", "B": "2100-01-01", "C": "1996-01-01"},
+    "none": {},
+}
+
+
+@pytest.mark.parametrize("topics", ODD_TOPICS.values(), ids=ODD_TOPICS)
+def test_rank_correlations_of_odd_topics(spark, sf_dir, tmp_path, topics):
+    con = duckdb.connect()
+    con.execute("create table kinds (p_type varchar, until timestamp, k bigint)")
+    for k, (name, until) in enumerate(topics.items(), 1):
+        con.execute("insert into kinds values (?, ?, ?)", [name, until, k])
+    for t in TABLES:
+        rows = f"select * from '{sf_dir}/{t}.parquet'"
+        if t == "part":
+            rows = f"select s.* replace (k as p_partkey, kinds.p_type as p_type) from (select * from '{sf_dir}/part.parquet' limit 1) s, kinds"
+        if t == "lineitem":
+            rows = f"select l.* replace (k as l_partkey) from '{sf_dir}/lineitem.parquet' l join '{sf_dir}/orders.parquet' on o_orderkey = l_orderkey join kinds on o_orderdate < until"
+        con.execute(f"copy ({rows}) to '{tmp_path}/{t}.parquet' (format parquet)")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    for name in ("ev_lowsample", "m_spearman", "m_rank_stability"):
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        want = con.sql(f"select {', '.join(df.columns)} from ({registry.ORACLES[name]})").fetchall()
+        assert ordered(df.collect()) == ordered(want), name
+
+
 def test_models(spark, sf_dir):
     rows = registry.QUERIES["fc_models"](spark, sf_dir).collect()
     assert {r["model"] for r in rows} == {"holt", "holt_winters", "arima"} and all(r["predicted"] >= 0 for r in rows)
