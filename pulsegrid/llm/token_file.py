@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.stages import bounded, cut, free, new_folder
-from pulsegrid.llm.textops import HELD, released, slices
+from pulsegrid.llm.textops import _GAP, HELD, released, slices, words
 
 #: Longest code in bits, ids between two checkpoints, ids in a block (a longer document has a block of its own).
 MAX_BITS, STEP, BLOCK_IDS = 18, 64, 1 << 18
@@ -50,7 +50,7 @@ def lowers(tokenizer: str) -> bool:
 
 
 class Chunks:
-    """``ids``: bytes of the ids of a chunk without spaces. Bounded; kept from task to task of a worker.
+    """``ids``: bytes of the ids of a chunk without spaces, by its UTF-8. Bounded; kept from task to task of a worker.
 
     New chunks of a slice are found together: those of letters only are one
     pre-token each, so the library encodes many of them in one text; a word with
@@ -68,16 +68,18 @@ class Chunks:
     def __init__(self, path: str, kind: str, most: int = 500_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.ids: dict[str, bytes] = {"": b""}
+        self.ids: dict[bytes, bytes] = {b"": b""}
         self.library, self.kind, self.most = Tokenizer.from_file(path), kind, most
         self.library.no_truncation()
         self.library.no_padding()
+        encoded = lambda t, w: t.encode(w, add_special_tokens=False).ids
+        #: Whether marks at the end of a chunk always are tokens of their own after a letter.
+        self.parts = all(encoded(self.library, w + m) == encoded(self.library, w) + encoded(self.library, m) for w in ("the", "zebra", "qzxv", "a.b", "--x", "1a", "it's", "été") for m in (*self._MARKS, self._MARKS, "...", ".,", "--"))
         self.plain = self.library
         if lowers(path):
             bare = Tokenizer.from_file(path)
             bare.normalizer = normalizers.Sequence([])
             bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            encoded = lambda t, w: t.encode(w, add_special_tokens=False).ids
             if all(encoded(bare, w) == encoded(self.library, w) for w in self._SAMPLE):
                 self.plain = bare
 
@@ -90,38 +92,46 @@ class Chunks:
     def alone(self, chunk: str) -> bytes:
         return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def meet(self, chunks: set[str]) -> None:
-        """Makes sure that all of ``chunks`` are known."""
+    def found(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each of ``chunks``, which are distinct; what a word with marks has is put together, not remembered."""
         known = self.ids
-        new = chunks.difference(known)
+        out = list(map(known.get, chunks))
+        new = [i for i, x in enumerate(out) if x is None]
         if not new:
-            return
+            return out
         if len(known) + len(new) > self.most:
             # what came first comes often: the first half stays
             kept = dict(itertools.islice(known.items(), self.most // 2))
             known.clear()
             known.update(kept)
-            new = chunks.difference(known)
-        words, marked = set(), []
-        for c in new:
+        words, marked = {}, []
+        for i in new:
+            c = chunks[i].decode("utf-8", "surrogatepass")
             core = c.rstrip(self._MARKS)
-            if core == c and c.isalpha():
-                words.add(c)
-            elif core and core.isalpha() and core.lower().isalpha() and len(core) < len(c):
-                marked.append((c, core, c[len(core) :]))
-                if core not in known:
-                    words.add(core)
+            if len(core) == len(c):
+                if c.isalpha():
+                    words[c] = i
+                else:
+                    out[i] = known[chunks[i]] = self.alone(c)
+            elif self.parts and core.isalpha() and core.lower().isalpha():
+                marks = c[len(core) :].encode()
+                marked.append((i, chunks[i][: -len(marks)], marks))
+                if marked[-1][1] not in known:
+                    words.setdefault(core)
             else:
-                known[c] = self.alone(c)
-        plain = {w for w in words if self._PLAIN(w)}
-        for library, many in ((self.plain, list(plain)), (self.library, list(words - plain))):
+                out[i] = known[chunks[i]] = self.alone(c)
+        plain = [w for w in words if self._PLAIN(w)]
+        for library, many in ((self.plain, plain), (self.library, [w for w in words if not self._PLAIN(w)])):
             for i in range(0, len(many), 256):
                 self._together(library, many[i : i + 256])
-        for c, core, marks in marked:
+        for i in words.values():
+            if i is not None:
+                out[i] = known[chunks[i]]
+        for i, core, marks in marked:
             if marks not in known:
-                known[marks] = self.alone(marks)
-            known[c] = known[core] + known[marks]
-
+                known[marks] = self.alone(marks.decode())
+            out[i] = known[core] + known[marks]
+        return out
 
     def _together(self, library, words: list[str]) -> None:
         """The ids of words of one pre-token each, told apart in one text by the pre-token of every id."""
@@ -131,19 +141,19 @@ class Chunks:
         if len(first) == len(words) and (of[first] == np.arange(len(words))).all():
             raw, width = ids.tobytes(), ids.itemsize
             at = (np.append(first, len(ids)) * width).tolist()
-            self.ids.update(zip(words, (raw[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
+            self.ids.update(zip(map(str.encode, words), (raw[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
         else:
-            self.ids.update((w, self.alone(w)) for w in words)
+            self.ids.update((w.encode(), self.alone(w)) for w in words)
 
 
 HELD["chunks"] = Chunks._known.clear
 
 
-def _lowered(text: str) -> str:
-    """The text with A-Z lowered, where a tokenizer that composes and lowers can't tell the difference."""
-    low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    if "<|" in text or not (low.isascii() or (is_normalized("NFC", low) and is_normalized("NFC", text))):
-        return text
+def _lowered(raw: bytes) -> bytes:
+    """UTF-8 with A-Z lowered, where a tokenizer that composes and lowers can't tell the difference."""
+    low, text = raw.lower(), lambda x: x.decode("utf-8", "surrogatepass")
+    if b"<|" in raw or not (low.isascii() or (is_normalized("NFC", text(low)) and is_normalized("NFC", text(raw)))):
+        return raw
     return low
 
 
@@ -174,7 +184,7 @@ def splits(tokenizer: str) -> bool:
     library = Tokenizer.from_file(tokenizer)
     ids = lambda t: library.encode(t, add_special_tokens=False).ids
     parts = ["the", "Zebra's", "1,234.5", "naïve", "###", "a_b", "x", "…", "中文", "😀", "<s>"]
-    return all(ids(gap.join(parts)) == [i for p in parts for i in ids(p)] for gap in (" ", "\n", "\t", "\r", "  \n ")) and ids(" \n\t ") == []
+    return all(ids(gap.join(parts)) == [i for p in parts for i in ids(p)] for gap in (" ", "\n", "\t", "\r", "\v", "\f", "  \n ")) and ids(" \n\t ") == []
 
 
 def _encode_whole(path: str, end_id: int, kind: str):
@@ -194,22 +204,51 @@ def _encode_whole(path: str, end_id: int, kind: str):
     return released(run)
 
 
+_MARK, _LETTER = (np.isin(np.arange(256), [*x]) for x in (Chunks._MARKS.encode(), b"abcdefghijklmnopqrstuvwxyz"))
+
+
+def _marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the ASCII marks after the letter that ends a word begin; a word's end if there are none, or more than eight."""
+    cut = ends.copy()
+    at = np.flatnonzero(_MARK[data[ends - 1]])
+    for _ in range(8):
+        cut[at] -= 1
+        at = at[cut[at] > starts[at]]
+        at = at[_MARK[data[cut[at] - 1]]]
+    return np.where((cut > starts) & _LETTER[data[cut - 1]], cut, ends)
+
+
 def _encode(path: str, end_id: int, kind: str, lowers: bool):
-    """Chunks between spaces, tabs and line ends one by one, for a tokenizer that ``splits``."""
+    """Chunks between ASCII white space one by one, for a tokenizer that ``splits``."""
 
     def run(batches):
         chunks = Chunks.of(path, kind)
-        end = np.array([end_id], kind).tobytes()
-        at = chunks.ids.__getitem__
+        end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
         for batch in batches:
-            for i, j, _, _ in slices(batch.column(1)):
-                texts = [t or "" for t in batch.column(1)[i:j].to_pylist()]
+            for i, j, data, offsets in slices(batch.column(1)):
                 if lowers:
-                    texts = [_lowered(t) for t in texts]
-                parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-                chunks.meet(set().union(*parts))
-                ids = [b"".join(map(at, p)) + end for p in parts]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                    raw, at = data.tobytes(), offsets.tolist()
+                    data = np.frombuffer(b"".join([_lowered(raw[x:y]) for x, y in zip(at, at[1:], strict=False)]), np.uint8)
+                starts, ends, of_text = words(data, offsets)
+                # what is between gaps, end to end: each distinct chunk is looked up once
+                stop = np.cumsum(ends - starts)
+                if chunks.parts:
+                    cut = _marks(data, starts, ends)
+                    parted = cut < ends
+                    of_text = of_text + np.append(0, np.cumsum(parted))[of_text]
+                    stop = np.sort(np.concatenate([stop, (stop - ends + cut)[parted]]), kind="stable")
+                held = [np.append(0, stop).astype(np.int32), data[~_GAP[data]]]
+                coded = pa.StringArray.from_buffers(len(stop), *map(pa.py_buffer, held)).dictionary_encode()
+                _, at, raw = coded.dictionary.buffers()
+                raw, at = raw.to_pybytes() if raw else b"", np.frombuffer(at, np.int32)[: len(coded.dictionary) + 1].tolist() if at else [0]
+                found = [*chunks.found([raw[x:y] for x, y in zip(at, at[1:], strict=False)]), end]
+                of = np.insert(coded.indices.to_numpy(), of_text[1:], len(found) - 1)
+                sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+                n = sizes[of]
+                stop = np.cumsum(n)
+                ids = np.frombuffer(b"".join(found), kind)[np.repeat((np.cumsum(sizes) - sizes)[of] - stop + n, n) + np.arange(stop[-1])]
+                bounds = np.append(0, stop[of_text[1:] + np.arange(j - i)] * width).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(bounds), pa.py_buffer(ids)])], names=["doc_id", "ids"])
 
     return released(run, "chunks")
 

@@ -301,6 +301,27 @@ def test_chunks_encode_like_the_library():
     assert count.splits and [count(t) for t in texts] == [len(x) for x in count.library.encode(texts)]
 
 
+def test_words_with_marks_are_not_remembered():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rnd = tokenizers.path("word_bpe_49k.json"), random.Random(2)
+    chunks = T.Chunks(path, "<u2", most=600)
+    words = ["".join(rnd.choices("abcdeé", k=5)) for _ in range(300)]
+    marks = ["", ".", ",", "!!", ",%%%", "." * 8, "." * 9, "-", "_", "|"]
+    texts = [" ".join(w + rnd.choice(marks) for w in rnd.choices(words, k=50)) for _ in range(300)] + ["a.b, 1a, it's. x\vy.\fz", "...", "", " ", None, "é" + "." * 40]
+    T.Chunks._known[path, "<u2"] = chunks
+    T.HELD["chunks"], forget = lambda: None, T.HELD["chunks"]
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])
+        got = [np.frombuffer(x, "<u2").tolist() for b in T._encode(path, 2, "<u2", True)([batch]) for x in b.column(1).to_pylist()]
+    finally:
+        T.HELD["chunks"] = forget
+        forget()
+    assert got == [[*e.ids, 2] for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert len(chunks.ids) < len(words) + 40
+
+
 def test_huffman_codes():
     rng = np.random.default_rng(0)
     ids = np.minimum(rng.zipf(1.4, 50_000), 30_000)
