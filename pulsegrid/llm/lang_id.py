@@ -27,6 +27,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -39,8 +40,8 @@ from pulsegrid.llm.textops import SLICE_BYTES, released, slices
 
 #: Documents to learn from, pieces of each, hashed features, words in a piece, steps, and words a worker remembers.
 SAMPLE_DOCS, SAMPLE_PIECES, BUCKETS, PIECE, ROUNDS, REMEMBERED = 1200, 24, 1 << 17, 24, 30, 300_000
-#: Words that are worked on in one block of a chain.
-BLOCK = 32
+#: Words that are worked on in one block of a chain, and in one group of chains that are learned from.
+BLOCK, GROUP = 32, 1 << 14
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -199,35 +200,52 @@ class Model:
         chains = [[p for p in c if p[0]] for c in chains]
         chains = [c for c in chains if c]
         vocabulary: dict[str, int] = {}
-        ids, y, lengths = [], [], []
+        ids, y, lengths = array("i"), array("i"), []
         for c in chains:
             lengths.append(sum(len(p[0]) for p in c))
             for ws, label in c:
-                y += [label] * len(ws)
-                ids += [vocabulary.setdefault(w, len(vocabulary)) for w in ws]
-        ids, y, k, v = np.array(ids), np.array(y), len(self.labels), len(vocabulary)
+                y.extend([label] * len(ws))
+                ids.extend([vocabulary.setdefault(w, len(vocabulary)) for w in ws])
+        del pieces, chains
+        ids, y, k, v = np.frombuffer(ids, np.int32), np.frombuffer(y, np.int32), len(self.labels), len(vocabulary)
         lexicon = np.bincount(ids, minlength=v) > 1
-        features = [word_features(w) if known else word_features(w)[1:] for w, known in zip(vocabulary, lexicon, strict=True)]
-        row = np.repeat(np.arange(v), [len(f) for f in features])
-        used, col = np.unique(np.concatenate(features), return_inverse=True)
-        at = np.concatenate([[0], np.cumsum([len(f) for f in features])[:-1]])
+        features, sizes = array("i"), []
+        for w, known in zip(vocabulary, lexicon, strict=True):
+            found = word_features(w)
+            features.extend(found if known else found[1:])
+            sizes.append(len(found) - (not known))
+        row = np.repeat(np.arange(v, dtype=np.int32), sizes)
+        used, col = np.unique(np.frombuffer(features, np.int32), return_inverse=True)
+        col = col.astype(np.int32)
+        del vocabulary, features
+        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         w, start, move = np.zeros((len(used), k)), np.zeros(k), np.zeros((k, k))
-        run, n = Chains(np.array(lengths)), len(ids)
-        heads = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        lengths, n = np.array(lengths), len(ids)
+        ends = np.cumsum(lengths)
+        heads = np.concatenate([[0], ends[:-1]])
         inner = np.ones(n, bool)
         inner[heads] = False
         seen_moves = np.zeros((k, k))
         np.add.at(seen_moves, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
-        one = np.zeros((n, k))
-        one[np.arange(n), y] = 1
+        # chains are independent: a group of them at a time bounds what a round holds
+        groups, first = [], 0
+        while first < len(lengths):
+            last = max(first + 1, int(np.searchsorted(ends, heads[first] + GROUP, "right")))
+            groups.append((heads[first], ends[last - 1], heads[first:last] - heads[first], Chains(lengths[first:last])))
+            first = last
         grads = [np.zeros_like(x) for x in (w, start, move)]
         for _ in range(rounds):
-            emission = np.add.reduceat(w[col], at, axis=0)[ids]
-            p, moves = run.marginals(emission, start, move, pairs=True)
-            d = one - p
-            by_word = np.stack([np.bincount(ids, d[:, j], v) for j in range(k)], 1)
+            scores = np.add.reduceat(w[col], at, axis=0)
+            by_word, g_start, moves = np.zeros((v, k)), np.zeros(k), np.zeros((k, k))
+            for low, high, own_heads, run in groups:
+                p, m = run.marginals(scores[ids[low:high]], start, move, pairs=True)
+                d = -p
+                d[np.arange(high - low), y[low:high]] += 1
+                by_word += np.stack([np.bincount(ids[low:high], d[:, j], v) for j in range(k)], 1)
+                g_start += d[own_heads].sum(0)
+                moves += m
             g_w = np.stack([np.bincount(col, by_word[row, j], len(used)) for j in range(k)], 1)
-            for x, g, held, rate, ridge in ((w, g_w, grads[0], 0.4, 0.3), (start, d[heads].sum(0), grads[1], 0.2, 1.0), (move, seen_moves - moves, grads[2], 0.4, 1.0)):
+            for x, g, held, rate, ridge in ((w, g_w, grads[0], 0.4, 0.3), (start, g_start, grads[1], 0.2, 1.0), (move, seen_moves - moves, grads[2], 0.4, 1.0)):
                 g = g - ridge * x
                 held += g * g
                 x += rate * g / (np.sqrt(held) + 1e-6)

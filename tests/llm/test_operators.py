@@ -193,6 +193,23 @@ def test_languages_held_out_and_switching(spark, sf_dir, docs, empty):
     assert L.identify(empty, model).collect() == []
 
 
+def test_learning_holds_a_group_of_chains_at_a_time(monkeypatch):
+    """The driver learns: what a round holds must not grow with the sample."""
+    import tracemalloc
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdeéß", k=6)) for _ in range(400)]
+    samples = [(" ".join(rnd.choices(words[40 * (i % 8) : 40 * (i % 8) + 80], k=L.PIECE)), "abcdefgh"[i % 8]) for i in range(8000)]
+    tracemalloc.start()
+    model = L.Model([*"abcdefgh"]).fit(samples, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    monkeypatch.setattr(L, "GROUP", 1 << 40)
+    whole = L.Model([*"abcdefgh"]).fit(samples, rounds=2)
+    assert np.allclose(model.weights, whole.weights) and np.allclose(model.move, whole.move) and np.allclose(model.start, whole.start)
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
