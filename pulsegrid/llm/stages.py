@@ -76,6 +76,27 @@ def free(*frames: DataFrame) -> None:
             df._written_at = None
 
 
+#: Bits of a sieve for each of its keys, and at most (8 MB).
+SIEVE_BITS, MOST_BITS = 32, 1 << 26
+
+
+def sifted(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose key is none of ``keys`` for certain, and all others, which have to meet the table ``keys`` itself.
+
+    What a few keys decide is not shuffled whole: a bitmap of their hashes is
+    broadcast. Its size is bounded; with more keys than it can tell apart more
+    rows, in the end all, are among the others. A null key is on either side.
+    """
+    bits = min(MOST_BITS, max(1 << 15, 1 << (SIEVE_BITS * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(key).cast(keys.schema[key].dataType)), F.lit(bits)) + 1
+    marks = keys.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__marks"))
+    met = df.withColumn("__at", F.bitmap_bit_position(place)).withColumn("__in", F.bitmap_bucket_number(place))
+    met = met.join(F.broadcast(marks), F.col("__in") == F.col("__bucket"), "left")
+    byte = "cast(conv(hex(substring(__marks, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)"
+    told = F.expr(f"coalesce(shiftright({byte}, cast(__at % 8 as int)) % 2 = 1, false)")
+    return met.where(~told).select(*df.columns), met.where(told).select(*df.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of the edges (a, b) reaches.
 

@@ -681,3 +681,68 @@ def test_pipeline_stages_with_odd_inputs(spark, sf_dir, empty):
     assert {r["text"] for r in kept if r["doc_id"] == 1} == {lines[1], lines[5] + " and more"}
     assert P.STAGES[-1][1](spark, docs, sf_dir).count() == len(rows)
     assert P.STAGES[-1][1](spark, docs.where("false"), sf_dir).collect() == []
+
+
+def shuffled_texts(df):
+    """Rows that the exchanges of a text column wrote, of a plan that has been run."""
+    seen, todo, n = set(), [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if name == "Exchange" and node.id() not in seen:
+            seen.add(node.id())
+            if any(node.output().apply(i).name() == "text" for i in range(node.output().size())):
+                n += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return n
+
+
+def test_pipeline_stages_shuffle_only_what_goes_or_repeats(spark, sf_dir):
+    """Also where the table of what is decided is too large to be broadcast by itself."""
+    import corpus_pipeline as P
+
+    items = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(8).collect()]
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=30)) + f" n{i}", "en", "a", 1) for i in range(3000)]
+    rows += [(5000 + i, rows[i][1], "en", "a", 1) for i in range(100)] + [(5100 + i, x, "en", "a", 1) for i, x in enumerate(items)] + rows[7:9]
+    docs = stages.cut(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = P.near_dedup(spark, docs, sf_dir)
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter({*range(3000), *range(5100, 5108)})
+        assert shuffled_texts(out) < 1000
+        out = P.decontaminate(spark, docs, sf_dir)
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(r[0] for r in rows if r[0] < 5100)
+        assert shuffled_texts(out) < 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_repeated_rows_of_a_copy_stay_once(spark, sf_dir):
+    """A row of an id is kept, and its other text, a copy of an earlier one, stays with it, once."""
+    import corpus_pipeline as P
+
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    docs = spark.createDataFrame([(3, a), (5, b), (5, a), (5, a), (6, a), (7, "x"), (None, a), (None, a)], "doc_id long, text string")
+    assert Counter(tuple(r) for r in P.near_dedup(spark, docs, sf_dir).collect()) == Counter([(3, a), (5, a), (5, b), (7, "x"), (None, a), (None, a)])
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 12])
+def test_sieve_misses_no_key(spark, most, monkeypatch):
+    monkeypatch.setattr(stages, "MOST_BITS", most)
+    ids = [*range(0, 60000, 3), -5, (1 << 63) - 1, None]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(0, "again")], "doc_id long, text string")
+    given = [i for i in ids if i is not None and i % 5 == 0]
+    for keys in (given, []):
+        clear, rest = stages.sifted(df, stages.cut(spark.createDataFrame([(i,) for i in keys], "doc_id long")), "doc_id")
+        assert Counter(map(tuple, clear.union(rest).collect())) == Counter(map(tuple, df.collect()))
+        assert not {r["doc_id"] for r in clear.collect()} & set(keys)
+        others = rest.where(~F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))).count()
+        assert others < 0.06 * len(ids) if most > 1 << 15 or not keys else others > 0
